@@ -10,7 +10,6 @@ order of time, so a process stops once every slot has an earlier point.
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,28 +150,76 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts overlap enough. Texts travel only for documents in pairs."""
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = cut(_rows(docs, id_col, text_col).join(wanted, "doc", "left_semi"))
-    both = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+def _bags(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, items and counts (bytes) of the wanted documents; only their texts travel, once."""
+    texts = _rows(docs, id_col, text_col).join(nodes.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: OrderedDict[int, tuple] = OrderedDict()  # a hot document is read once, not once a pair
+        for batch in batches:
+            found = [shingles(t) for t in batch["text"].tolist()]
+            yield pd.DataFrame({"node": batch["doc"], "items": [i.tobytes() for i, _ in found], "counts": [c.astype("<i4").tobytes() if len(c) and c.max() > 1 else b"" for _, c in found]})
+
+    return cut(texts.mapInPandas(each, "node long, items binary, counts binary"))
+
 
-        def bag(doc: int, text: str) -> tuple:
-            name = (doc, len(text), hash(text))
-            if name not in kept:
-                kept[name] = shingles(text)
-                if len(kept) > 256:
-                    kept.popitem(last=False)
-            return kept[name]
+def _bag(items: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(items, np.uint64)
+    return found, np.frombuffer(counts, "<i4").astype(np.int64) if counts else np.ones(len(found), np.int64)
 
+
+def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose bags overlap enough."""
+    both = pairs.join(bags.select(F.col("node").alias("b"), F.col("items").alias("ib"), F.col("counts").alias("cb")), "b")
+    both = both.join(bags.select(F.col("node").alias("a"), F.col("items").alias("ia"), F.col("counts").alias("ca")), "a")
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ok = [overlap(bag(a, x), shingles(y)) >= similarity for a, x, y in zip(batch["a"].tolist(), batch["text_a"].tolist(), batch["text_b"].tolist(), strict=True)]
+            ok = [overlap(_bag(w, x), _bag(y, z)) >= similarity for w, x, y, z in zip(batch["ia"], batch["ca"], batch["ib"], batch["cb"], strict=True)]
             yield batch.loc[ok, ["a", "b"]]
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(each, "a long, b long").distinct()
+    return both.select("a", "b", "ia", "ca", "ib", "cb").mapInPandas(each, "a long, b long").distinct()
+
+
+#: Members of one side of a cell in which a bucket's remaining pairs are compared.
+CELL = 512
+
+
+def _compared_in_cells(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components within buckets, found without a row for any pair.
+
+    ``members``: key, band, node, label, weight, bands, outside. A bucket's members are dealt
+    to blocks of about ``CELL``; a cell compares one block's outside members with another
+    block's members of other components. A pair is compared in the first band it shares.
+    """
+    sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(CELL))).alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    whole = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    as_x = sized.where("outside").select("*", F.lit(True).alias("is_x"), F.col("block").alias("i"), F.explode(whole).alias("j"))
+    as_y = sized.select("*", F.lit(False).alias("is_x"), F.explode(whole).alias("i"), F.col("block").alias("j"))
+    rows = as_x.unionByName(as_y).join(bags, "node")
+
+    def each(cell: pd.DataFrame) -> pd.DataFrame:
+        x, y = cell[cell["is_x"]], cell[~cell["is_x"]]
+        found: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            band = int(cell["band"].iloc[0])
+            bands = np.stack([np.asarray(b, np.int64) for b in y["bands"]])
+            node, label, weight, outside = (y[c].to_numpy() for c in ("node", "label", "weight", "outside"))
+            held = [_bag(i, c) for i, c in zip(y["items"], y["counts"], strict=True)]
+            for n, own, w, mine, items, counts in zip(x["node"].tolist(), x["label"].tolist(), x["weight"].tolist(), x["bands"], x["items"], x["counts"], strict=True):
+                maybe = (label != own) & (~outside | (node > n)) & (np.minimum(weight, w) >= similarity * np.maximum(weight, w))
+                at = np.flatnonzero(maybe)
+                at = at[(bands[at] == np.asarray(mine, np.int64)).argmax(axis=1) == band]
+                if not len(at):
+                    continue
+                a, ca = _bag(items, counts)
+                lengths = np.array([len(held[k][0]) for k in at])
+                b, cb = np.concatenate([held[k][0] for k in at]), np.concatenate([held[k][1] for k in at])
+                place = np.minimum(np.searchsorted(a, b), len(a) - 1)
+                both = np.add.reduceat(np.where(a[place] == b, np.minimum(ca[place], cb), 0), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+                found += [(min(n, m), max(n, m)) for m in node[at][both >= similarity * (w + weight[at] - both)].tolist()]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("key", "i", "j").applyInPandas(each, "a long, b long").distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -200,42 +247,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A class is a connected component of documents whose multisets of five-word shingles
     overlap by ``similarity`` or more. Equal bags are one node, so copies are never compared.
     In each bucket of a band all members are compared with the least one; where a bucket still
-    holds several components, its members outside the largest are compared with all of other
-    components. So every pair that shares a band is compared or already connected: no link
-    between classes is lost, and no bucket emits all its pairs.
+    holds several components, its members outside the largest are compared with those of other
+    components, block by block. So every pair that shares a band is compared or already
+    connected: no link between classes is lost, and no bucket emits its pairs.
 
     Null text counts as empty. Texts without words form one class. A null id is kept as null,
     its class like any other's. Rows with the same id are one document: their classes
     merge. An empty table gives no rows. Other columns are ignored.
     """
     sigs = cut(signatures(docs, id_col, text_col))
-    bags = sigs.groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.count("*").alias("n_copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
-    bags = cut(bags)
-    members = cut(bags.select("node", "weight", F.explode("bands").alias("key")))
-    pivots = members.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot.*")
-    pivots = pivots.select("key", F.col("node").alias("a"), F.col("weight").alias("weight_a"))
-    pairs = members.join(pivots, "key").where((F.col("node") != F.col("a")) & _can_reach(F.col("weight"), F.col("weight_a"), similarity)).select("a", F.col("node").alias("b")).distinct()
-    pairs = cut(pairs)
+    nodes = cut(sigs.groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.count("*").alias("n_copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
+    members = nodes.select("node", "weight", F.posexplode("bands").alias("band", "key"))
+    pivots = members.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "n", F.col("pivot.node").alias("a"), F.col("pivot.weight").alias("weight_a"))
+    shared = cut(members.join(pivots, "key"))  # only buckets with two members or more are looked at from here on
+    pairs = cut(shared.where((F.col("node") != F.col("a")) & _can_reach(F.col("weight"), F.col("weight_a"), similarity)).select("a", F.col("node").alias("b")).distinct())
+    bags = _bags(shared.select("node"), docs, id_col, text_col)
     # rows of one id that hold several texts are linked as they are
-    own = sigs.join(bags.select("h1", "h2", "node"), ["h1", "h2"])
+    own = sigs.join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
     same_id = own.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
-    links = cut(_verified(pairs, docs, id_col, text_col, similarity).unionByName(same_id))
-    labels = cut(components(bags, links))
+    links = cut(_verified(pairs, bags, similarity).unionByName(same_id).distinct())
+    labels = cut(components(nodes, links))
 
-    held = members.join(labels, "node")
+    held = shared.where("n > 2").select("key", "band", "node", "weight").join(labels, "node")  # the two of a pair are compared already
     sizes = held.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
-    mixed_members = cut(held.join(mixed, "key"))
-    if not mixed_members.isEmpty():
-        outside = mixed_members.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("weight").alias("weight_x"))
-        more = mixed_members.join(outside, "key").where((F.col("label") != F.col("label_x")) & _can_reach(F.col("weight"), F.col("weight_x"), similarity))
-        more = more.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = cut(links.unionByName(_verified(more, docs, id_col, text_col, similarity)))
-            labels = cut(components(bags, links))
+    left = held.join(mixed, "key").join(nodes.select("node", "bands"), "node").withColumn("outside", F.col("label") != F.col("main"))
+    more = cut(_compared_in_cells(left, bags, similarity))
+    if not more.isEmpty():
+        links = cut(links.unionByName(more).distinct())
+        labels = cut(components(nodes, links))
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = bags.select("h1", "h2", "node", "n_copies").join(labels, "node").join(degree, "node", "left")
+    classes = nodes.select("h1", "h2", "node", "n_copies").join(labels, "node").join(degree, "node", "left")
     return sigs.select("doc", "h1", "h2").join(classes, ["h1", "h2"]).select(
         F.when(F.col("doc") != F.lit(_NO_ID), F.col("doc")).alias(id_col),
         F.when(F.col("label") != F.lit(_NO_ID), F.col("label")).alias("class_id"),
