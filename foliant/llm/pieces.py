@@ -82,8 +82,9 @@ class WordIds:
                 text = text.lower()  # as the library would, letter by letter; fewer words to learn
             return text.split()
         plain = text.split(" ")
-        if len(text.split()) != len(plain) + text.count("\n"):
-            return None  # other, repeated or outer white space
+        lines, inner = text.count("\n"), text.split()
+        if len(inner) != len(plain) + lines or len("".join(inner)) != len(text) - (len(plain) - 1) - lines:
+            return None  # repeated or outer white space, or other than spaces and line ends
         if len(plain) == 1 and "\n" not in text:
             return plain
         out = []

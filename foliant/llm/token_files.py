@@ -52,11 +52,11 @@ class EliasFano:
             raise IndexError(i)
         at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
         byte, bit = divmod(at, 8)
-        word = self.high[byte] & (0xFF << bit)
-        while (count := int(word).bit_count()) <= left:
+        word = int(self.high[byte]) & (0xFF << bit)
+        while (count := word.bit_count()) <= left:
             left -= count
             byte += 1
-            word = self.high[byte]
+            word = int(self.high[byte])
         ones = np.flatnonzero(np.unpackbits(np.array([word], np.uint8), bitorder="little"))
         top = byte * 8 + int(ones[left]) - i
         low = 0
