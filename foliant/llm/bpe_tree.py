@@ -76,10 +76,10 @@ class TreeBpe:
 
     def _join(self, text: str, b: int, left: tuple, right: tuple, half: int) -> tuple[list[int], list[list[int]]]:
         (ls, li), (rs, ri) = left, right
-        # Cuts before the last match of the left part stand, unless that part ends in white
-        # space, whose match looks one character ahead: then the run's first cut is the last sure one.
+        # The pattern looks one character past a match, and three from its start (at 'll and the
+        # like). Matches of the left part that had these to look at stand; the last one never had.
         keep = len(ls) - 1
-        while keep > 0 and (text[ls[keep]].isspace() and text[ls[keep] : half].isspace()):
+        while keep > 0 and ls[keep - 1] + 3 > half:
             keep -= 1
         at, known = ls[keep], {s: i for i, s in enumerate(rs)}
         starts, ids = ls[:keep], li[:keep]
