@@ -81,8 +81,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return keyed.join(kept, (keyed["__id"] == kept["__id"]) & (differs == 0), "left_semi").dropDuplicates(["__id"]).drop("__id")
 
 
-#: 2^64 apart, so that a longer text always goes before an id.
-_STEP = "18446744073709551616"
+#: Ids count from 0 to 2^64 - 1, a null id as 2^64; lengths are 2^65 apart, so that a longer text always goes first.
+_STEP, _NULL = "36893488147419103232", "18446744073709551616"
 
 
 def _order(n_chars: Column, doc: Column) -> Column:
@@ -90,7 +90,7 @@ def _order(n_chars: Column, doc: Column) -> Column:
 
     One fixed-width number: the aggregate stays in the hash aggregate's buffer.
     """
-    id_part = F.coalesce(doc.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)"), F.lit("18446744073709551615").cast("decimal(20,0)"))
+    id_part = F.coalesce(doc.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)"), F.lit(_NULL).cast("decimal(20,0)"))
     high = (F.lit(4294967295).cast("long") - n_chars).cast("decimal(12,0)")
     return ((high * F.lit(_STEP).cast("decimal(20,0)")).cast("decimal(38,0)") + id_part).cast("decimal(38,0)")
 
@@ -99,5 +99,5 @@ def _from_order(best: Column) -> tuple[Column, Column]:
     step = F.lit(_STEP).cast("decimal(20,0)")
     rest = F.pmod(best, step.cast("decimal(38,0)")).cast("decimal(20,0)")
     high = ((best - rest) / step).cast("decimal(20,0)")
-    doc = F.when(rest != F.lit("18446744073709551615").cast("decimal(20,0)"), (rest - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long"))
+    doc = F.when(rest != F.lit(_NULL).cast("decimal(20,0)"), (rest - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long"))
     return (F.lit(4294967295).cast("long") - high.cast("long")), doc
