@@ -17,6 +17,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +155,7 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, same
 
 
-def _runs(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Word numbers of the texts end to end, each closed by a number of its own; word names; where each text lies."""
     numbers: dict[str, int] = {}
     tokens, places = [], []
@@ -213,17 +214,19 @@ def repeated_runs(rest: DataFrame, run: int = RUN, pages_per_array: int = PAGES)
     array; these are merged by host.
     """
     sizes = rest.groupBy("host").agg(F.ceil(F.count("*") / F.lit(pages_per_array)).alias("arrays"))
-    dealt = rest.join(sizes, "host").withColumn("array", F.pmod(F.xxhash64("page"), F.col("arrays")))
+    dealt = rest.join(sizes, "host").withColumn("array", F.pmod(F.xxhash64("page"), F.col("arrays"))).repartition("host", "array")
 
-    def each(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    schema = pa.schema([("host", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+
+    def each(key: tuple, group: pa.Table) -> pa.Table:
         texts, owners = [], []
-        for page, found in zip(group["page"].tolist(), group["rest"].tolist(), strict=True):
+        for page, found in zip(group["page"].to_pylist(), group["rest"].to_pylist(), strict=True):
             texts += [x["text"] for x in found]
             owners += [page] * len(found)
-        tokens, names, places = _runs(texts, run)
+        tokens, names, places = _runs(texts)
         at, text = _starts(places, run)
         if not len(at):
-            return pd.DataFrame({"host": [], "a": [], "b": [], "low": [], "high": []})
+            return schema.empty_table()
         order, same = suffix_array(tokens, run)
         owner = np.full(len(tokens), -1, np.int64)
         owner[at] = text
@@ -233,9 +236,10 @@ def repeated_runs(rest: DataFrame, run: int = RUN, pages_per_array: int = PAGES)
         places_in_order, pages_in_order = order[whole], np.array(owners, np.int64)[owner[order[whole]]]
         first = np.flatnonzero(np.diff(group_no, prepend=-1))
         a, b = _window_names(tokens, names, run, places_in_order[first])
-        return pd.DataFrame({"host": key[0], "a": a, "b": b, "low": np.minimum.reduceat(pages_in_order, first), "high": np.maximum.reduceat(pages_in_order, first)})
+        columns = [[key[0].as_py()] * len(first), a, b, np.minimum.reduceat(pages_in_order, first), np.maximum.reduceat(pages_in_order, first)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    found = dealt.groupBy("host", "array").applyInPandas(each, "host string, a long, b long, low long, high long")
+    found = dealt.groupBy("host", "array").applyInArrow(each, "host string, a long, b long, low long, high long")
     return found.groupBy("host", "a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "a", "b")
 
 
@@ -245,11 +249,11 @@ def _windows(rest: DataFrame, run: int) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for page, host, found in zip(batch["page"].tolist(), batch["host"].tolist(), batch["rest"].tolist(), strict=True):
-                tokens, names, places = _runs([x["text"] for x in found], run)
+                tokens, names, places = _runs([x["text"] for x in found])
                 at, block = _starts(places, run)
                 if len(at):
                     a, b = _window_names(tokens, names, run, at)
-                    yield pd.DataFrame({"page": page, "host": host, "a": a, "b": b, "block": block, "place": at - np.array([p[0] for p in places])[block]})
+                    yield pd.DataFrame({"page": page, "host": [host] * len(at), "a": a, "b": b, "block": block, "place": at - np.array([p[0] for p in places])[block]})
 
     return rest.select("page", "host", "rest").mapInPandas(each, "page long, host string, a long, b long, block int, place int")
 
@@ -271,32 +275,31 @@ def unique_text(rest: list[dict], covered: list[dict], run: int) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, pages_per_array: int = PAGES) -> DataFrame:
     """The main text of every page.
 
-    Columns: ``id_col``, ``url_col``, text, n_chars, n_boilerplate (windows of words outside
-    the article that the host repeats on other pages).
+    Columns: ``id_col``, ``url_col``, text, n_chars.
 
     A page with an article or main element has that element's text, whole; repeated passages
     inside it stay, as an article may be copied. Any other page has its open blocks without
-    the runs that repeat on other pages of its host. Null html counts as empty, whose text is
-    empty; a null or odd url belongs to the host without a name; a null id is kept as null;
-    pages with one id share their windows' count. An empty table gives no rows. Other columns
-    are ignored.
+    the runs that repeat on other pages of its host. Pages are read twice: once for the
+    blocks outside articles, which alone are kept and compared, once for the articles.
+
+    Null html counts as empty, whose text is empty; a null or odd url belongs to the host
+    without a name; a null id is kept as null; pages with one id share their covered words. An
+    empty table gives no rows. Other columns are ignored.
     """
-    found = cut(parsed(pages, id_col, url_col, html_col))
+    found = cut(parsed(pages, id_col, url_col, html_col).where("not has_main or size(rest) > 0").select("page", "url", "host", "has_main", "rest"))
     rest = found.where(F.size("rest") > 0).select("page", "host", "rest")
-    common = repeated_runs(rest, run, pages_per_array)
-    covered = _windows(rest, run).join(common, ["host", "a", "b"]).distinct()
-    by_page = covered.groupBy("page").agg(F.count("*").alias("n"), F.collect_list(F.struct("block", "place")).alias("covered"))
-    joined = found.join(by_page, "page", "left")
+    common = cut(repeated_runs(rest, run, pages_per_array))
+    open_pages = found.where("not has_main")
+    covered = _windows(open_pages, run).join(common, ["host", "a", "b"]).select("page", "block", "place").distinct()
+    by_page = covered.groupBy("page").agg(F.collect_list(F.struct("block", "place")).alias("covered"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            text = [
-                main if has else unique_text(list(rest), [] if covered is None else list(covered), run)
-                for has, main, rest, covered in zip(batch["has_main"], batch["main"], batch["rest"], batch["covered"], strict=True)
-            ]
-            yield pd.DataFrame({"page": batch["page"], "url": batch["url"], "text": text, "n": batch["n"].fillna(0).astype("int64")})
-
-    done = joined.select("page", "url", "has_main", "main", "rest", "covered", "n").mapInPandas(each, "page long, url string, text string, n long")
-    return done.select(
-        F.when(F.col("page") != F.lit(-(1 << 63)), F.col("page")).alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), F.col("n").alias("n_boilerplate")
+            text = [unique_text(list(rest), [] if covered is None else list(covered), run) for rest, covered in zip(batch["rest"], batch["covered"], strict=True)]
+            yield pd.DataFrame({"page": batch["page"], "url": batch["url"].tolist(), "text": text})
+
+    opened = open_pages.join(by_page, "page", "left").select("page", "url", "rest", "covered").mapInPandas(each, "page long, url string, text string")
+    whole = parsed(pages, id_col, url_col, html_col).where("has_main").select("page", "url", F.col("main").alias("text"))
+    return whole.unionByName(opened).select(
+        F.when(F.col("page") != F.lit(-(1 << 63)), F.col("page")).alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars")
     )
