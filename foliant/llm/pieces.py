@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import sys
 from array import array
+from itertools import filterfalse, islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -40,7 +41,8 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.chunks: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}  # words as they stand
+        self.later: dict[str, bytes] = {}  # words behind a space, if that is part of a token
         self.stems: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
@@ -52,68 +54,100 @@ class WordIds:
         out = [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return out if sys.byteorder == "little" else [np.frombuffer(x, f">u{self.width}").astype(f"<u{self.width}").tobytes() for x in out]
 
-    def learn(self, missing: set[str]) -> None:
-        """Puts the words' ids in the cache."""
-        if len(self.stems) + len(missing) > STEMS:
+    def learn(self, missing: set[str], lead: str, known: dict[str, bytes]) -> None:
+        """Puts the ids of the words, behind ``lead``, in ``known``; the part before closing punctuation is learned once."""
+        if len(self.stems) > STEMS:
             self.stems.clear()
-        stems, spaced = self.stems, self.spaced
-        cut, need = [], set()
+        stems, cut, need = self.stems, [], set()
         for word in missing:
             stem = word.rstrip(TAIL)
-            if stem == word or not (stem[1:] if spaced and stem[:1] == " " else stem).isalpha():
-                stem = word
-            if not spaced and stem.isascii():
-                stem = stem.lower()
-            cut.append((word, stem, word[len(stem) :]))
-            if stem not in stems:
-                need.add(stem)
-        need.update({tail for _, _, tail in cut if tail} - stems.keys())
-        if need:
-            need = list(need)
-            stems.update(zip(need, self.whole(need), strict=True))
-        self.chunks.update([(word, stems[stem] + stems[tail] if tail else stems[stem]) for word, stem, tail in cut])
-
-    def words(self, text: str) -> list[str] | None:
-        """Parts whose ids in a row are the text's, or None if only the library can tell."""
-        if not self.spaced:
-            if any(c in text for c in ODD):
-                return None
-            if "\u03a3" not in text and is_normalized("NFC", text):
-                text = text.lower()  # as the library would, letter by letter; fewer words to learn
-            return text.split()
-        plain = text.split(" ")
-        lines, inner = text.count("\n"), text.split()
-        if len(inner) != len(plain) + lines or len("".join(inner)) != len(text) - (len(plain) - 1) - lines:
-            return None  # repeated or outer white space, or other than spaces and line ends
-        if len(plain) == 1 and "\n" not in text:
-            return plain
+            if stem == word or not stem.isalpha():
+                cut.append((word, lead + word, ""))
+            else:
+                cut.append((word, lead + stem, word[len(stem) :]))
+        need.update(stem for _, stem, _ in cut)
+        need.update(tail for _, _, tail in cut)
+        need.discard("")
+        new = list(filterfalse(stems.__contains__, need))
+        if new:
+            stems.update(zip(new, self.whole(new), strict=True))
+        known.update([(word, stems[stem] + stems[tail] if tail else stems[stem]) for word, stem, tail in cut])
+
+    def plain(self, text: str) -> list[str] | None:
+        """Words whose ids in a row are the text's, for a vocabulary that drops white space; None if only the library can tell."""
+        if any(c in text for c in ODD):
+            return None
+        if "\u03a3" not in text and is_normalized("NFC", text):
+            text = text.lower()  # as the library would, letter by letter; fewer words to learn
+        return text.split()
+
+    def lines(self, text: str) -> list[list[str]] | None:
+        """Words by line, for a vocabulary that marks spaces; None unless single spaces and line ends are the only white space."""
         out = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + w for w in rest]
-        return out
+        lines = text.split("\n")
+        if not lines[-1] and len(lines) > 1:
+            lines.pop()
+            end = [[""]]
+        else:
+            end = []
+        for line in lines:
+            if not line or line[0] == " " or line[-1] == " " or "  " in line or not line.isprintable():
+                return None
+            out.append(line.split(" "))
+        return out + end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.words(t) if t else [] for t in texts]
-        if len(self.chunks) > CHUNKS:
-            self.chunks.clear()
-        known = self.chunks
-        missing = set()
+        return self._encode_lines(texts) if self.spaced else self._encode_plain(texts)
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        parts = [self.plain(t) for t in texts]
+        for_first: set[str] = set()
+        if len(self.first) > CHUNKS:
+            self.first.clear()
         for p in parts:
             if p:
-                missing.update(p)
-        missing.difference_update(known)
-        missing.discard("")
-        if missing:
-            self.learn(missing)
-        odd = [t for t, p in zip(texts, parts, strict=True) if p is None]
-        rest = iter(self.whole(odd)) if odd else iter(())
-        get = known.__getitem__
+                for_first.update(filterfalse(self.first.__contains__, p))
+        if for_first:
+            self.learn(for_first, "", self.first)
+        rest = iter(self.whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        get = self.first.__getitem__
         return [next(rest) if p is None else b"".join(map(get, p)) for p in parts]
 
+    def _encode_lines(self, texts: list[str]) -> list[bytes]:
+        parts = [self.lines(t) if t else [] for t in texts]
+        for known in (self.first, self.later):
+            if len(known) > CHUNKS:
+                known.clear()
+        for_first: set[str] = {"\n"}
+        for_later: set[str] = set()
+        for p in parts:
+            for line in p or ():
+                for_first.add(line[0])
+                if len(line) > 1:
+                    for_later.update(filterfalse(self.later.__contains__, islice(line, 1, None)))
+        for_first = set(filterfalse(self.first.__contains__, for_first)) - {""}
+        self.first[""] = b""
+        if for_first:
+            self.learn(for_first, "", self.first)
+        if for_later:
+            self.learn(for_later, " ", self.later)
+        rest = iter(self.whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        first, get, out = self.first, self.later.__getitem__, []
+        self.first[""] = b""
+        new_line = first["\n"]
+        for p in parts:
+            if p is None:
+                out.append(next(rest))
+                continue
+            row: list[bytes] = []
+            for line in p:
+                row.append(new_line)
+                row.append(first[line[0]])
+                if len(line) > 1:
+                    row.extend(map(get, islice(line, 1, None)))
+            out.append(b"".join(row[1:]))
+        return out
+
 
 _KEPT: dict[tuple[str, bool], WordIds] = {}
 
