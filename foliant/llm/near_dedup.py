@@ -181,24 +181,27 @@ def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
 
 
 #: Members of one side of a cell in which a bucket's remaining pairs are compared.
-CELL = 512
+CELL = 2048
 
 
 def _compared_in_cells(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between components within buckets, found without a row for any pair.
 
-    ``members``: key, band, node, label, weight, bands, outside. A bucket's members are dealt
-    to blocks of about ``CELL``; a cell compares one block's outside members with another
-    block's members of other components. A pair is compared in the first band it shares.
+    ``members``: key, band, node, label, outside; ``bags`` also has weight and bands. A bucket's
+    members are dealt to blocks of about ``CELL``; a cell compares one block's outside members
+    with another block's members of other components. A bucket of one block is one cell, which
+    every member enters once. A pair is compared in the first band it shares.
     """
     sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(CELL))).alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     whole = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    as_x = sized.where("outside").select("*", F.lit(True).alias("is_x"), F.col("block").alias("i"), F.explode(whole).alias("j"))
-    as_y = sized.select("*", F.lit(False).alias("is_x"), F.explode(whole).alias("i"), F.col("block").alias("j"))
-    rows = as_x.unionByName(as_y).join(bags, "node")
+    one, many = sized.where("blocks = 1"), sized.where("blocks > 1")
+    as_both = one.select("*", F.col("outside").alias("is_x"), F.lit(True).alias("is_y"), F.col("block").alias("i"), F.col("block").alias("j"))
+    as_x = many.where("outside").select("*", F.lit(True).alias("is_x"), F.lit(False).alias("is_y"), F.col("block").alias("i"), F.explode(whole).alias("j"))
+    as_y = many.select("*", F.lit(False).alias("is_x"), F.lit(True).alias("is_y"), F.explode(whole).alias("i"), F.col("block").alias("j"))
+    rows = as_both.unionByName(as_x).unionByName(as_y).drop("blocks", "block").join(bags, "node")  # bags join last, so that only ids move before
 
     def each(cell: pd.DataFrame) -> pd.DataFrame:
-        x, y = cell[cell["is_x"]], cell[~cell["is_x"]]
+        x, y = cell[cell["is_x"]], cell[cell["is_y"]]
         found: list[tuple[int, int]] = []
         if len(x) and len(y):
             band = int(cell["band"].iloc[0])
@@ -268,11 +271,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = cut(_verified(pairs, bags, similarity).unionByName(same_id).distinct())
     labels = cut(components(nodes, links))
 
-    held = shared.where("n > 2").select("key", "band", "node", "weight").join(labels, "node")  # the two of a pair are compared already
+    held = shared.where("n > 2").select("key", "band", "node").join(labels, "node")  # the two of a pair are compared already
     sizes = held.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
-    left = held.join(mixed, "key").join(nodes.select("node", "bands"), "node").withColumn("outside", F.col("label") != F.col("main"))
-    more = cut(_compared_in_cells(left, bags, similarity))
+    left = held.join(mixed, "key").select("key", "band", "node", "label", (F.col("label") != F.col("main")).alias("outside"))
+    more = cut(_compared_in_cells(left, bags.join(nodes.select("node", "weight", "bands"), "node"), similarity))
     if not more.isEmpty():
         links = cut(links.unionByName(more).distinct())
         labels = cut(components(nodes, links))

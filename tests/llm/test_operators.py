@@ -159,6 +159,20 @@ def test_near_groups(spark):
     assert kept == set(want.values())
 
 
+def test_near_groups_in_small_cells(spark, monkeypatch):
+    """Buckets of several cells give the same classes."""
+    monkeypatch.setattr(near_dedup, "CELL", 2)
+    rng, rows = random.Random(5), []
+    base = [f"w{i}" for i in range(100)]
+    for d in range(40):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5])):
+            copy[rng.randrange(100)] = f"e{rng.randrange(10**6)}"
+        rows.append((d, " ".join(copy)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == _classes({d: near_dedup.shingles(t) for d, t in rows})
+
+
 def test_near_groups_odd(odd, none):
     got = near_dedup.near_groups(odd).collect()
     assert len(got) == len(ODD)
