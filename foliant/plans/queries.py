@@ -88,6 +88,16 @@ def hex_encode(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.lower(F.hex(F.substring("text", 1, 200))).alias("hex"))
 
 
+@query("SELECT doc_id, decode(unhex(hex(encode(text)))) AS text FROM documents")
+def hex_decode_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.decode(F.unhex(F.hex("text")), "UTF-8").alias("text"))
+
+
+@query("SELECT doc_id, lower(hex(encode(text))) AS hex FROM documents")
+def hex_encode_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.lower(F.hex("text")).alias("hex"))
+
+
 @query(r"SELECT doc_id, regexp_replace(text, '%[^\r\n]*', '', 'g') AS text FROM documents")
 def strip_comments(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"%[^\r\n]*", "").alias("text"))
@@ -301,6 +311,15 @@ def string_width(spark, sf):
     return found.groupBy("doc_id").agg((F.sum("w") / 1000 * 12).alias("width"))
 
 
+@query(None)
+def string_width_whole(spark, sf):
+    """Whole texts, row by row: every character has the default, letters differ from it. An empty text has no width, null stays null."""
+    text = F.col("text")
+    counts = [(F.length(text) - F.length(F.replace(text, F.lit(chr(97 + i)), F.lit("")))) * F.lit(500.0 + 10 * i - 600.0) for i in range(26)]
+    width = sum(counts, F.length(text) * F.lit(600.0)) / 1000 * 12
+    return table(spark, sf, "documents").select("doc_id", width.alias("width"))
+
+
 @query(r"""
     SELECT page_id, CAST(i - 1 AS BIGINT) AS place, a[i] AS src, b[i] AS dst FROM (SELECT page_id, a, b, unnest(range(1, len(a) + 1)) AS i FROM (
         SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS a, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS b FROM pages))
@@ -329,6 +348,16 @@ def encode_lookup(spark, sf):
     return chars.select("doc_id").distinct().join(joined, "doc_id", "left").select("doc_id", "hex")
 
 
+@query(None)
+def encode_lookup_whole(spark, sf):
+    """Whole texts, row by row; null if no character has a code."""
+    hexed = F.regexp_replace("text", "[^a-z ]", "")
+    for i in range(26):  # in order: the digits a to f only arise once the letters a to f are gone
+        hexed = F.replace(hexed, F.lit(chr(97 + i)), F.lit(f"{i + 1:04x}"))
+    hexed = F.replace(hexed, F.lit(" "), F.lit("0020"))
+    return table(spark, sf, "documents").select("doc_id", F.when(hexed != "", hexed).alias("hex"))
+
+
 # layout
 
 
@@ -514,7 +543,7 @@ def kv_serialize(spark, sf):
 
 @query(None)
 def utf16_hex(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.utf16_literal(F.substring("text", 1, 200)).alias("literal"))
+    return table(spark, sf, "documents").select("doc_id", tx.utf16_literal(F.col("text")).alias("literal"))
 
 
 @query("SELECT doc_id, md5(text) AS md5 FROM documents")
