@@ -34,9 +34,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a run of these characters is one match; sh
 #: Bytes that one compressed layer may unfold to; a guard against decompression bombs.
 UNFOLDED = 1 << 26
 
-_URL = re.compile(r"(?:[!-~]*%[0-9A-Fa-f]{2})+[!-~]*")
-_UNICODE = re.compile(r"(?:[!-~]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}))+[!-~]*")
-_REFERENCE = re.compile(r"(?:[!-~]*&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z]+);)+[!-~]*")
+_VISIBLE = re.compile(r"[!-~]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z]+);")
@@ -63,13 +61,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+@dataclass(frozen=True)
+class Same:
+    """One number for every character, however many there are."""
+
+    value: int
+
+    def __getitem__(self, at: int) -> int:
+        return self.value
+
+
 @dataclass
 class Layer:
     """Decoded text; ``begin`` and ``end`` give each character's span in the original."""
 
     text: str
-    begin: list[int] | range
-    end: list[int] | range
+    begin: list[int] | range | Same
+    end: list[int] | range | Same
 
 
 def _readable(data: bytes) -> str | None:
@@ -93,21 +101,26 @@ def _unfold(data: bytes) -> bytes | None:
 def _escapes(layer: Layer, pattern: re.Pattern, a: int, b: int, decode) -> Layer | None:
     """The part a..b with each escape replaced; other characters keep their place."""
     text, begin, end, at = [], [], [], a
+    mapped = not isinstance(layer.begin, Same)
+
+    def plain(upto: int) -> None:
+        text.append(layer.text[at:upto])
+        if mapped:
+            begin.extend(layer.begin[at:upto])
+            end.extend(layer.end[at:upto])
+
     for m in pattern.finditer(layer.text, a, b):
-        text.append(layer.text[at : m.start()])
-        begin += layer.begin[at : m.start()]
-        end += layer.end[at : m.start()]
+        plain(m.start())
         new = decode(m)
         text.append(new)
-        begin += [layer.begin[m.start()]] * len(new)
-        end += [layer.end[m.end() - 1]] * len(new)
+        if mapped:
+            begin += [layer.begin[m.start()]] * len(new)
+            end += [layer.end[m.end() - 1]] * len(new)
         at = m.end()
     if at == a:
         return None
-    text.append(layer.text[at:b])
-    begin += layer.begin[at:b]
-    end += layer.end[at:b]
-    return Layer("".join(text), begin, end)
+    plain(b)
+    return Layer("".join(text), begin, end) if mapped else Layer("".join(text), layer.begin, layer.end)
 
 
 _RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -126,13 +139,17 @@ def _entity(m: re.Match) -> str:
 
 
 def inner_layers(layer: Layer) -> Iterator[Layer]:
-    """One layer for each encoded part."""
+    """For each kind of escapes the whole text without them, and each run of visible characters alone; one layer for each other encoded part.
+
+    The whole text finds secrets of which only some characters are escaped. A run alone finds
+    what another match, that begins before the run, would take in.
+    """
     text = layer.text
-    for where, pattern, decode, sign in ((_URL, _RUN, _percent, "%"), (_UNICODE, _ESCAPE, _escape, "\\"), (_REFERENCE, _ENTITY, _entity, "&")):
+    for pattern, decode, sign in ((_RUN, _percent, "%"), (_ESCAPE, _escape, "\\"), (_ENTITY, _entity, "&")):
         if sign in text:
-            for m in where.finditer(text):
-                new = _escapes(layer, pattern, m.start(), m.end(), decode)
-                if new is not None and new.text != m[0]:
+            for a, b in ((0, len(text)), *(m.span() for m in _VISIBLE.finditer(text) if sign in m[0])):
+                new = _escapes(layer, pattern, a, b, decode)
+                if new is not None and new.text and new.text != text[a:b]:
                     yield new
     for m in _BASE64.finditer(text):
         core = m[0].rstrip("=").replace("-", "+").replace("_", "/")
@@ -147,7 +164,7 @@ def inner_layers(layer: Layer) -> Iterator[Layer]:
             data = more
         new = _readable(data)
         if new is not None:
-            yield Layer(new, [whole[0]] * len(new), [whole[1]] * len(new))
+            yield Layer(new, Same(whole[0]), Same(whole[1]))
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -485,6 +485,23 @@ def test_layers():
     assert secrets.mask(f"a {inner}\nb") == "a " + "*" * len(inner) + "\nb"
 
 
+def test_partly_escaped():
+    """Layers go on across spaces, line ends and other characters."""
+    for text, secret in (
+        ("{&quot;password&quot;: &quot;hunter2hunter2&quot;}", "password&quot;: &quot;hunter2hunter2"),
+        ("é password%3A hunter2hunter2 z", "password%3A hunter2hunter2"),
+        (r"{\u0022token\u0022: \u0022hunter2hunter2\u0022}", r"token\u0022: \u0022hunter2hunter2"),
+        (r"日 api%5Fkey \u003d hunter2hunter2", r"api%5Fkey \u003d hunter2hunter2"),
+    ):
+        at = text.index(secret)
+        assert secrets.base_spans(text) == [] and (at, 0, at + len(secret)) in secrets.all_spans(text)[1]
+        assert secrets.mask(text) == text.replace(secret, "*" * len(secret))
+    packed = base64.b64encode(gzip.compress(b"x password%3A hunter2hunter2")).decode()
+    assert secrets.all_spans(packed)[1] == [(0, 0, len(packed))]
+    # a run alone still finds what a match before it takes in
+    assert (7, 0, 30) in secrets.all_spans("token= secret%3Ahunter2hunter2")[1]
+
+
 def test_scan_documents(docs, texts, odd, none):
     for r in secrets.scan_documents(docs).collect():
         want = _brute(texts[r.doc_id])
