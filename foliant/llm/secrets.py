@@ -9,7 +9,6 @@ so a finding deep inside is reported as a span of the original text.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import html
 import re
@@ -36,11 +35,18 @@ UNFOLDED = 1 << 26
 
 _VISIBLE = re.compile(r"[!-~]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that go on over line ends, as base64 is wrapped; or one run.
+_BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+(?:(?:[ \t]*\r?\n[ \t]*)?=){0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+_BREAK = re.compile(r"[ \t\r\n=]+")
+#: How gzip and zlib headers look in base64.
+_PACKED = re.compile(r"(?=H4sI|[CGKOSWae][A-P])")
+#: Text among other bytes; the shortest secret has 14 characters.
+_PIECE = re.compile(rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){14,}")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z]+);")
 
 #: What a text must hold for any of the above to find something; runs in the Arrow library.
-_ANY = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&[#A-Za-z][0-9A-Za-z]*;|[A-Za-z0-9+/_-]{16}"""
+_ANY = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&[#A-Za-z][0-9A-Za-z]*;|(?:[A-Za-z0-9+/_-](?:[ \t]*\r?\n[ \t]*)?){16}"""
 
 
 @dataclass(frozen=True)
@@ -138,6 +144,53 @@ def _entity(m: re.Match) -> str:
     return html.unescape(m[0])
 
 
+def _bytes(core: str) -> bytes:
+    """What base64 without breaks stands for; a character that is left over is ignored."""
+    n = len(core) - (len(core) % 4 == 1)
+    return base64.b64decode(core[:n].replace("-", "+").replace("_", "/") + "=" * (-n % 4))
+
+
+def _pieces(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """The whole if it is readable, else each readable stretch of it: (start, end, text)."""
+    if (whole := _readable(data)) is not None:
+        yield 0, len(data), whole
+        return
+    for m in _PIECE.finditer(data):
+        if (text := _readable(m[0])) is not None:
+            yield m.start(), m.end(), text
+
+
+def _block_layers(layer: Layer, m: re.Match, whole_read: bool) -> Iterator[Layer]:
+    """What a block holds, wherever in it an encoding starts.
+
+    Each of the four alignments is decoded over all lines and its readable stretches are
+    layers; compressed bytes are unfolded from every place that looks like their header.
+    ``whole_read``: the block is one run and a layer already, so its own start is left out.
+    """
+    core = _BREAK.sub("", m[0])
+    if len(core) < 16:
+        return
+
+    def made(text: str, a: int, b: int) -> Layer:
+        places = [i for i in range(m.start(), m.end()) if layer.text[i] not in " \t\r\n="]
+        last = m.end() if b >= len(core) else places[b - 1] + 1
+        return Layer(text, Same(layer.begin[places[a]]), Same(layer.end[last - 1]))
+
+    for k in range(1 if whole_read else 0, 4):
+        for a, b, text in _pieces(_bytes(core[k:])):
+            yield made(text, k + a // 3 * 4, k + -(-b // 3) * 4)
+    for found in _PACKED.finditer(core, 1 if whole_read else 0):
+        k = found.start()
+        if _unfold(_bytes(core[k : k + 64])) is None:  # most such places fail here
+            continue
+        data, depth = _bytes(core[k:]), 0
+        while (more := _unfold(data)) is not None:
+            data, depth = more, depth + 1
+        if depth:
+            for _, _, text in _pieces(data):
+                yield made(text, k, len(core))
+
+
 def inner_layers(layer: Layer) -> Iterator[Layer]:
     """For each kind of escapes the whole text without them, and each run of visible characters alone; one layer for each other encoded part.
 
@@ -151,20 +204,21 @@ def inner_layers(layer: Layer) -> Iterator[Layer]:
                 new = _escapes(layer, pattern, a, b, decode)
                 if new is not None and new.text and new.text != text[a:b]:
                     yield new
+    read = set()
     for m in _BASE64.finditer(text):
-        core = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        core = m[0].rstrip("=")
         if len(core) % 4 == 1:
             continue
-        try:
-            data = base64.b64decode(core + "=" * (-len(core) % 4))
-        except binascii.Error:
-            continue
+        data = _bytes(core)
         whole = (layer.begin[m.start()], layer.end[m.end() - 1])
         while (more := _unfold(data)) is not None:
             data = more
         new = _readable(data)
         if new is not None:
+            read.add(m.span())
             yield Layer(new, Same(whole[0]), Same(whole[1]))
+    for m in _BLOCK.finditer(text):
+        yield from _block_layers(layer, m, m.span() in read)
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

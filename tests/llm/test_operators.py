@@ -502,6 +502,34 @@ def test_partly_escaped():
     assert (7, 0, 30) in secrets.all_spans("token= secret%3Ahunter2hunter2")[1]
 
 
+def _wrapped(data, width, end="\n"):
+    code = base64.b64encode(data).decode()
+    return end.join(code[i : i + width] for i in range(0, len(code), width))
+
+
+@pytest.mark.parametrize("width, end", [(76, "\n"), (64, "\r\n"), (10, "\n  ")])
+def test_wrapped_base64(width, end):
+    """Lines of one encoding are decoded together, whatever stands before and after them."""
+    noise = "".join(random.Random(5).choices("ghijklmnopqrstuvwxyz ", k=300))
+    for secret_at in (45, 53, 250):
+        plain = f"{noise[:secret_at]} password=hunter2hunter2 {noise[secret_at:]}".encode()
+        for data in (plain, gzip.compress(plain), zlib.compress(plain)):
+            code = _wrapped(data, width, end)
+            assert (4, 0, 4 + len(code)) in secrets.all_spans(f"日: \n{code}\n\nend")[1]
+            for text in (f"so it is\n{code}\n", f"{code}\n\nend"):
+                got = secrets.mask(text)
+                assert len(got) == len(text) and "hunter2" not in "".join(x.text for x in secrets.inner_layers(secrets.Layer(got, range(len(got)), range(1, len(got) + 1))))
+                assert secrets.all_spans(text)[1] and secrets.all_spans(got)[1] == []
+
+
+def test_glued_base64():
+    """An encoding is found after any character, as at the end of a path."""
+    for glue in ("a/", "ab/", "path/to/", "x-y_", "abc"):
+        for data in (b"password=hunter2hunter2 ok", gzip.compress(b"password=hunter2hunter2 ok"), zlib.compress(b"password=hunter2hunter2 ok")):
+            text = f"é {glue}{base64.b64encode(data).decode()} z"
+            assert any(a <= 2 + len(glue) + 3 and b == len(text) - 2 for a, _, b in secrets.all_spans(text)[1]), (glue, text)
+
+
 def test_scan_documents(docs, texts, odd, none):
     for r in secrets.scan_documents(docs).collect():
         want = _brute(texts[r.doc_id])
