@@ -566,6 +566,20 @@ def first_hit(spark, sf):
     return spatial.first_hit(points, boxes, "event_id", ["id"], 10.0).select("event_id", "hit")
 
 
+@query("""
+    WITH p AS (SELECT event_id, value AS x, CAST(user_id % 100 AS DOUBLE) AS y FROM events),
+    b AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x0, p_size + 8.0::DOUBLE AS x1, CAST(p_partkey % 100 AS DOUBLE) AS y0, p_partkey % 100 + 6.0::DOUBLE AS y1 FROM part)
+    SELECT p.event_id, min(b.id) AS hit FROM p LEFT JOIN b ON x >= x0 AND x <= x1 AND y >= y0 AND y <= y1 GROUP BY p.event_id
+""")
+def first_hit_whole(spark, sf):
+    """Every part has its box; boxes of equal bounds are dealt to the grid once, with their least id."""
+    points = table(spark, sf, "events").select("event_id", F.col("value").alias("x"), (F.col("user_id") % 100).cast("double").alias("y"))
+    size, row = F.col("p_size").cast("double"), (F.col("p_partkey") % 100).cast("double")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), size.alias("x0"), (size + 8.0).alias("x1"), row.alias("y0"), (row + 6.0).alias("y1"))
+    boxes = parts.groupBy("x0", "x1", "y0", "y1").agg(F.min("id").alias("id"))
+    return spatial.first_hit(points, boxes, "event_id", ["id"], 10.0).select("event_id", "hit")
+
+
 @query("""
     SELECT label, arg_min(vec_id, (round(list_distance(embedding, list_resize(CAST([] AS FLOAT[]), len(embedding), 0.1)), 5), vec_id)) AS vec_id FROM embeddings GROUP BY label
 """)

@@ -1,4 +1,4 @@
-"""Queries over whole texts against brute force: texts far longer than any prefix, empty ones, nulls."""
+"""Queries over whole texts and tables against brute force: texts far longer than any prefix, empty ones, nulls; ids beyond any limit."""
 
 import pytest
 
@@ -41,3 +41,13 @@ def test_whole(spark, folder, name):
         if name == "utf16_hex" and t is None:
             continue  # the literal of a null is not defined
         assert got[d] == (pytest.approx(want) if isinstance(want, float) else want), (name, d)
+
+
+def test_first_hit_whole(spark, tmp_path):
+    parts = [(5, 10), (150, 30), (250, 20), (1250, 20), (777, 20), (20_050, 30)]
+    events = [(i, float(x), u) for i, (x, u) in enumerate([(22, 51), (22, 78), (33, 52), (12, 7), (45, 99), (28, 150), (20, 50)])]
+    spark.createDataFrame(parts, "p_partkey long, p_size long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(events, "event_id long, value double, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    want = {e: min((k for k, s in parts if s <= x <= s + 8 and k % 100 <= u % 100 <= k % 100 + 6), default=None) for e, x, u in events}
+    assert {250, 777, 150, None} <= set(want.values())
+    assert {r.event_id: r.hit for r in QUERIES["first_hit_whole"](spark, str(tmp_path)).collect()} == want
