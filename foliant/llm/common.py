@@ -49,6 +49,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def text_hash(name: str = "text") -> Column:
+    """A hash that tells texts of one id (or of none) apart; null counts as empty."""
+    return F.sha2(text_or_empty(name), 256)
+
+
 def range_bounds(df: DataFrame, key: str, rows_per_range: int, least: int = 1) -> list:
     """Ascending bounds that cut the non-null keys into ranges of about ``rows_per_range`` rows.
 

@@ -70,15 +70,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; repeated rows of a kept id stay once.
+    """One document of each text, with all its columns: a row that is marked kept, of equal ones any.
 
-    Nulls, empty texts and ties as in :func:`exact_groups`. One shuffle of the texts, by id.
+    Nulls, empty texts and ties as in :func:`exact_groups`. Rows go by id and hash of the
+    normalised text, so rows with one id or none and different texts all stay. One shuffle of
+    the texts, by both.
     """
     none = F.lit(-(1 << 63))
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.coalesce(F.col(id_col), none).alias("__id"), F.col("n_chars").alias("__n")).distinct()
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), none))
-    differs = F.length(F.coalesce(keyed[text_col], F.lit(""))) - kept["__n"]  # no key of the join, so that rows stay dealt by id
-    return keyed.join(kept, (keyed["__id"] == kept["__id"]) & (differs == 0), "left_semi").dropDuplicates(["__id"]).drop("__id")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.coalesce(F.col(id_col), none).alias("__id"), F.unhex("text_sha256").alias("__s"), F.col("n_chars").alias("__n")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), none)).withColumn("__s", F.unhex(F.sha2(normalised(text), 256)))
+    differs = F.length(F.coalesce(keyed[text_col], F.lit(""))) - kept["__n"]  # no key of the join, so that rows stay dealt by id and hash
+    same = (keyed["__id"] == kept["__id"]) & (keyed["__s"] == kept["__s"]) & (differs == 0)
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["__id", "__s"]).drop("__id", "__s")
 
 
 #: Ids count from 0 to 2^64 - 1, a null id as 2^64; lengths are 2^65 apart, so that a longer text always goes first.

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, small_batches
+from foliant.llm.common import cut, small_batches, text_hash
 
 WORDS, SIMILARITY = 5, 0.8
 
@@ -241,7 +241,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         if jumped.where("old <> label").isEmpty():
             break
         labels = jumped.select("node", "label")
-    return nodes.select("node").join(jumped.select("node", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return nodes.select("node").distinct().join(jumped.select("node", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -255,9 +255,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     connected: no link between classes is lost, and no bucket emits its pairs.
 
     Null text counts as empty. Texts without words form one class. A null id is kept as null,
-    its class like any other's. Rows with the same id are one document: their classes
-    merge. An empty table gives no rows. Other columns are ignored.
+    its class like any other's; rows without id are documents of their own. Rows with the
+    same id are one document: their classes merge. An empty table gives no rows. Other columns
+    are ignored.
     """
+    if docs.where(F.col(id_col).isNull()).limit(2).count() > 1:
+        keyed, keys = _own_keys(docs, id_col, text_col, F.col(id_col).isNull())
+        own = keys.select("__key", F.col("__id").alias(id_col))
+        least = keys.select(F.col("__key").alias("class_id"), F.col("__id").alias("__class"))
+        found = near_groups(keyed, "__key", text_col, similarity)
+        return found.join(own, "__key").join(least, "class_id").select(id_col, F.col("__class").alias("class_id"), "n_copies", "n_links")
     sigs = cut(signatures(docs, id_col, text_col))
     nodes = cut(sigs.groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.count("*").alias("n_copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
     members = nodes.select("node", "weight", F.posexplode("bands").alias("band", "key"))
@@ -295,8 +302,29 @@ def _can_reach(x, y, similarity: float):  # noqa: ANN001, ANN202
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The document with the least id of each class, with all its columns; a repeated row of it stays once."""
+    """The document with the least id of each class, with all its columns; a row that is repeated, id and text, stays once.
+
+    Rows with one id or none and different texts are documents of their own here; a null id is the least.
+    """
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
+    if not ids.where("n > 1").isEmpty():
+        docs_keyed, _ = _own_keys(docs, id_col, text_col, F.lit(True))
+        return keep_one(docs_keyed.dropDuplicates(["__key"]), "__key", text_col, similarity).select(*docs.columns)
     none = F.lit(_NO_ID)
     groups = near_groups(docs, id_col, text_col, similarity)
-    firsts = groups.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.coalesce(F.col(id_col), none).alias("__id")).distinct()
-    return docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), none)).join(firsts, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    firsts = groups.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.coalesce(F.col(id_col), none).alias("__id"))
+    return docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), none)).join(firsts, "__id", "left_semi").drop("__id")
+
+
+def _own_keys(docs: DataFrame, id_col: str, text_col: str, apart: Column) -> tuple[DataFrame, DataFrame]:
+    """The documents with __key, and __key with its __id.
+
+    Keys ascend with the ids, null first. Where ``apart`` holds, a key is of one id and text,
+    elsewhere of one id.
+    """
+    rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__hash", F.when(apart, text_hash(text_col)).otherwise(""))
+    order = [F.col("__id").asc_nulls_first(), "__hash"]
+    keys = cut(rows.select("__id", "__hash").distinct().orderBy(*order).withColumn("__key", F.monotonically_increasing_id()))
+    found = keys.select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"), "__key")
+    keyed = rows.join(found, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")))
+    return keyed.select(*docs.columns, "__key"), keys.select("__key", "__id")

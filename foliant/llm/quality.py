@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, small_batches
+from foliant.llm.common import cut, small_batches, text_hash
 
 #: Labelled rows that the model is fitted on at most: those with the least hashes of their ids.
 SAMPLE_ROWS = 20_000
@@ -53,8 +53,8 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and the statistics of every whole text; null counts as empty, ids may be null."""
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """``id_col`` and the statistics of every whole text; null counts as empty, ids may be null. ``hashed``: also __hash, the text's."""
     small_batches(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
@@ -62,10 +62,12 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             out = pd.DataFrame([statistics(t) for t in batch["text"].tolist()], columns=list(STATISTICS))
             out.insert(0, id_col, batch["id"].to_numpy())
+            if hashed:
+                out["__hash"] = batch["hash"].to_numpy()
             yield out
 
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = f"`{id_col}` string, " + ", ".join(f"{s} double" for s in STATISTICS)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([text_hash(text_col).alias("hash")] if hashed else []))
+    schema = f"`{id_col}` string, " + ", ".join(f"{s} double" for s in STATISTICS) + (", __hash string" if hashed else "")
     return rows.mapInPandas(each, schema).withColumn(id_col, F.col(id_col).cast(kind))
 
 
@@ -187,19 +189,25 @@ def score_documents(
     and meets no label. Repeated labels of an id are averaged and rounded half up, null labels
     ignored; repeated documents are scored each. Without labels the score is a constant.
     """
-    stats = cut(with_statistics(docs, id_col, text_col))
+    scored = _scored(docs, labels, id_col, text_col, label_col, sample_rows)
+    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= F.lit(threshold)).cast("int").alias("predicted"))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, hashed: bool = False) -> DataFrame:
+    stats = cut(with_statistics(docs, id_col, text_col, hashed))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("labelled")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
     rows = stats.join(known, stats[id_col] == known["labelled"]).orderBy(F.xxhash64("labelled"), "labelled", *STATISTICS).limit(sample_rows).select("y", *STATISTICS).toPandas()
     model = fit_rules(rows[list(STATISTICS)].to_numpy(float), rows["y"].to_numpy(int))
-    return stats.withColumn("score", model.column()).select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= F.lit(threshold)).cast("int").alias("predicted"))
+    return stats.withColumn("score", model.column())
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns.
 
-    Rows that share an id stay if one of their texts scores enough; a null id is an id.
+    Every row is judged by its own text, whether its id is null or shared or neither.
     """
     none = F.lit(-(1 << 63))
-    good = score_documents(docs, labels, id_col, text_col, threshold=threshold).where("predicted = 1").select(F.coalesce(F.col(id_col), none).alias("__id"))
-    return docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), none)).join(good, "__id", "left_semi").drop("__id")
+    good = _scored(docs, labels, id_col, text_col, hashed=True).where(F.col("score") >= F.lit(threshold)).select(F.coalesce(F.col(id_col), none).alias("__id"), "__hash")
+    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), none)).withColumn("__hash", text_hash(text_col))
+    return keyed.join(good, ["__id", "__hash"], "left_semi").select(*docs.columns)
