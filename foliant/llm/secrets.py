@@ -94,14 +94,28 @@ def _readable(data: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
 
 
+def _is_packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) > 1 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)
+
+
 def _unfold(data: bytes) -> bytes | None:
-    """Zlib or gzip contents, else None."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 1 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
+    """Zlib or gzip contents, of all members up to ``UNFOLDED`` bytes and to the last whole character, else None."""
+    out, size = [], 0
+    while size < UNFOLDED and _is_packed(data):
+        unpack = zlib.decompressobj(47)
         try:
-            return zlib.decompressobj(47).decompress(data, UNFOLDED)
+            out.append(unpack.decompress(data, UNFOLDED - size))
         except zlib.error:
-            return None
-    return None
+            break
+        size, data = size + len(out[-1]), unpack.unused_data
+    if not out:
+        return None
+    whole = b"".join(out)
+    if size >= UNFOLDED:  # the cut may be inside a character
+        for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+            if whole[-k] >= 0xC0:
+                return whole[:-k] if whole[-k] >= least else whole
+    return whole
 
 
 def _escapes(layer: Layer, pattern: re.Pattern, a: int, b: int, decode) -> Layer | None:

@@ -530,6 +530,17 @@ def test_glued_base64():
             assert any(a <= 2 + len(glue) + 3 and b == len(text) - 2 for a, _, b in secrets.all_spans(text)[1]), (glue, text)
 
 
+def test_all_members(monkeypatch):
+    """Later members of a gzip stream are read; a cut by the guard leaves whole characters."""
+    packed = base64.b64encode(gzip.compress(b"first member, ") + gzip.compress(b"password=hunter2hunter2")).decode()
+    assert secrets.all_spans(f"é {packed} z")[1] == [(2, 0, 2 + len(packed))]
+    for inner in ("é", "日", "😀"):
+        for at in range(24, 24 + len(inner.encode())):
+            monkeypatch.setattr(secrets, "UNFOLDED", at)
+            got = secrets._unfold(gzip.compress(f"password=hunter2hunter2 {inner} and more".encode()))
+            assert got == b"password=hunter2hunter2 "
+
+
 def test_scan_documents(docs, texts, odd, none):
     for r in secrets.scan_documents(docs).collect():
         want = _brute(texts[r.doc_id])
