@@ -328,6 +328,19 @@ def test_host_repeats_go(spark):
     assert html_text.extract(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_array_decides_pages_without_article(spark):
+    """Without repeats found, the same pages keep everything; a copied page keeps nothing."""
+    note = "please read our terms of use and privacy rules before you go on"
+    copied = "this whole page is copied word for word to another place of the same host"
+    rows = [(1, "http://a.example/1", f"<div>alpha beta</div><div>{note}</div>"), (2, "http://a.example/2", f"<div>gamma delta</div><div>{note}</div>")]
+    rows += [(i, f"http://a.example/{i}", f"<div>{copied}</div>") for i in (3, 4)] + [(5, "http://b.example/5", f"<div>{copied}</div>")]
+    pages = spark.createDataFrame(rows, PAGES)
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == {1: "alpha beta", 2: "gamma delta", 3: "", 4: "", 5: copied}
+    kept = {r.page_id: r.text for r in html_text.extract(pages, run=100).collect()}
+    assert kept == {1: f"alpha beta\n{note}", 2: f"gamma delta\n{note}", 3: copied, 4: copied, 5: copied}
+
+
 def test_pages_table(spark):
     import html
 
