@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import cut, small_batches, text_hash
@@ -180,49 +180,122 @@ def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "ia", "ca", "ib", "cb").mapInPandas(each, "a long, b long").distinct()
 
 
-#: Members of one side of a cell in which a bucket's remaining pairs are compared.
-CELL = 2048
+#: Members of one side of a cell, and the shingles that its bags hold together.
+CELL, CELL_SHINGLES = 2048, 1 << 21
 
 
-def _compared_in_cells(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between components within buckets, found without a row for any pair.
+def _prefixes(mixed: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Postings (token, node, label, weight, start) of the bags' prefixes, without tokens of one bag alone.
 
-    ``members``: key, band, node, label, outside; ``bags`` also has weight and bands. A bucket's
-    members are dealt to blocks of about ``CELL``; a cell compares one block's outside members
-    with another block's members of other components. A bucket of one block is one cell, which
-    every member enters once. A pair is compared in the first band it shares.
+    ``mixed``: node, label, weight. Bags are put in one global order, the rarest shingles first;
+    ``start`` is a shingle's place in its bag. Two bags that overlap enough share a shingle
+    of their prefixes, the first (1 - similarity) of each: an exact filter, not an estimate.
     """
-    sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(CELL))).alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = [_bag(i, c) for i, c in zip(batch["items"], batch["counts"], strict=True)]
+            sizes = np.array([len(x) for x, _ in held])
+            for some in np.split(np.arange(len(held)), np.flatnonzero(np.diff(np.cumsum(sizes) >> 18)) + 1):  # about 2^18 shingles a frame
+                if len(some):
+                    token, n = np.concatenate([held[k][0] for k in some]), np.concatenate([held[k][1] for k in some])
+                    yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy()[some], sizes[some]), "token": token.view(np.int64), "n": n.astype(np.int32)})
+
+    tokens = bags.join(mixed.select("node"), "node", "left_semi").mapInPandas(each, "node long, token long, n int")
+    common = tokens.groupBy("token").agg(F.count("*").alias("bags")).where("bags > 1")
+    order = Window.partitionBy("node").orderBy("bags", "token")
+    placed = tokens.join(common, "token").select(
+        "token", "node", F.sum("n").over(Window.partitionBy("node")).alias("shared"), F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    )
+    start = F.col("weight") - F.col("shared") + F.col("before")  # shingles of this bag alone come first
+    return placed.join(mixed, "node").select("token", "node", "label", "weight", start.alias("start")).where(F.col("start") <= F.col("weight") - F.ceil(F.col("weight") * F.lit(similarity) - F.lit(1e-9)))
+
+
+def _between_labels(postings: DataFrame, similarity: float) -> DataFrame:
+    """The postings that may lead from one component to another, with ``outside``: whether the node lies outside the token's largest component.
+
+    A token of one component alone leads nowhere, nor does a posting from which on too little is left, even
+    beside the token's smallest bag and the one with the most left.
+    """
+    sizes = postings.groupBy("token", "label").agg(F.count("*").alias("n"), F.min("weight").alias("least"), F.max(F.col("weight") - F.col("start")).alias("left"))
+    mixed = sizes.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds"), F.min("least").alias("least"), F.max("left").alias("left")).where("kinds > 1")
+    share = F.lit(similarity / (1 + similarity))
+    other = F.greatest(F.col("least"), F.col("weight") * F.lit(similarity))
+    enough = F.least("left", F.col("weight") - F.col("start")) >= share * (F.col("weight") + other) - F.lit(1e-6)
+    return postings.join(mixed, "token").where(enough).select(*postings.columns, (F.col("label") != F.col("main")).alias("outside"))
+
+
+def _in_cells(members: DataFrame) -> DataFrame:
+    """A row for each cell (token, i, j) that a member enters, as is_x or is_y or both, and the cell's bin.
+
+    The members of a token are dealt to blocks of about ``CELL`` members and ``CELL_SHINGLES``
+    shingles; a cell meets one block's outside members with another block's members. A token of
+    one block is one cell, which every member enters once. Cells of the same i and j share bins,
+    as most are small.
+    """
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(float(CELL))), F.ceil(F.sum("weight") / F.lit(float(CELL_SHINGLES))))
+    sizes = members.groupBy("token").agg(blocks.alias("blocks"))
+    of_all = members.agg(F.sum("weight").alias("w"), F.count("*").alias("n")).head()
+    bins = 1 + max((of_all["w"] or 0) // CELL_SHINGLES, of_all["n"] // (4 * CELL))
+    sized = members.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     whole = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    one, many = sized.where("blocks = 1"), sized.where("blocks > 1")
-    as_both = one.select("*", F.col("outside").alias("is_x"), F.lit(True).alias("is_y"), F.col("block").alias("i"), F.col("block").alias("j"))
-    as_x = many.where("outside").select("*", F.lit(True).alias("is_x"), F.lit(False).alias("is_y"), F.col("block").alias("i"), F.explode(whole).alias("j"))
-    as_y = many.select("*", F.lit(False).alias("is_x"), F.lit(True).alias("is_y"), F.explode(whole).alias("i"), F.col("block").alias("j"))
-    rows = as_both.unionByName(as_x).unionByName(as_y).drop("blocks", "block").join(bags, "node")  # bags join last, so that only ids move before
-
-    def each(cell: pd.DataFrame) -> pd.DataFrame:
-        x, y = cell[cell["is_x"]], cell[cell["is_y"]]
+
+    def enters(x: bool, y: bool, i: Column, j: Column) -> Column:
+        return F.struct(F.lit(x).alias("is_x"), F.lit(y).alias("is_y"), i.alias("i"), j.alias("j"))
+
+    as_x = F.when(F.col("outside"), F.transform(whole, lambda k: enters(True, False, F.col("block"), k))).otherwise(F.array().cast("array<struct<is_x: boolean, is_y: boolean, i: bigint, j: bigint>>"))
+    as_y = F.transform(whole, lambda k: enters(False, True, k, F.col("block")))
+    cells = F.when(F.col("blocks") == 1, F.array(enters(True, True, F.col("block"), F.col("block")))).otherwise(F.concat(as_x, as_y))
+    return sized.withColumn("cell", F.explode(cells)).select(*members.columns, "cell.*", F.pmod(F.xxhash64("token"), F.lit(bins)).alias("bin"))
+
+
+def _may_link(cells: pd.DataFrame, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a bin of cells: an outside one, and the others of its cell which by sizes and places may overlap with it enough."""
+    order = np.argsort(cells["token"].to_numpy(), kind="stable")
+    token, node, label, weight, start, outside, is_x, is_y = (cells[c].to_numpy()[order] for c in ("token", "node", "label", "weight", "start", "outside", "is_x", "is_y"))
+    left, share = weight - start, similarity / (1 + similarity)
+    edges = np.flatnonzero(np.diff(token, prepend=token[:1] - 1, append=token[-1:] + 1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        for k in (np.flatnonzero(outside[a:b] & is_x[a:b]) + a).tolist():
+            maybe = is_y[a:b] & (label[a:b] != label[k]) & (~outside[a:b] | (node[a:b] > node[k])) & (np.minimum(left[a:b], left[k]) >= share * (weight[a:b] + weight[k]) - 1e-6)
+            if maybe.any():
+                yield int(order[k]), order[np.flatnonzero(maybe) + a]
+
+
+def _compared_in_cells(postings: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components among bags that share a token of their prefixes, found without a row for any pair.
+
+    At the first token that two bags share, in the global order, they overlap by no more than
+    what each has left from there on. So the cells are first gone through without bags, which
+    leaves the members with a possible partner; only their bags travel, to be compared.
+    """
+
+    def possible(cells: pd.DataFrame) -> pd.DataFrame:
+        some = np.zeros(len(cells), bool)
+        for k, others in _may_link(cells, similarity):
+            some[k] = some[others] = True
+        return cells.loc[some, ["token", "node", "label", "weight", "start", "outside"]]
+
+    def compared(cells: pd.DataFrame) -> pd.DataFrame:
+        node, weight = cells["node"].to_numpy(), cells["weight"].to_numpy()
+        held = [_bag(i, c) for i, c in zip(cells["items"], cells["counts"], strict=True)]
         found: list[tuple[int, int]] = []
-        if len(x) and len(y):
-            band = int(cell["band"].iloc[0])
-            bands = np.stack([np.asarray(b, np.int64) for b in y["bands"]])
-            node, label, weight, outside = (y[c].to_numpy() for c in ("node", "label", "weight", "outside"))
-            held = [_bag(i, c) for i, c in zip(y["items"], y["counts"], strict=True)]
-            for n, own, w, mine, items, counts in zip(x["node"].tolist(), x["label"].tolist(), x["weight"].tolist(), x["bands"], x["items"], x["counts"], strict=True):
-                maybe = (label != own) & (~outside | (node > n)) & (np.minimum(weight, w) >= similarity * np.maximum(weight, w))
-                at = np.flatnonzero(maybe)
-                at = at[(bands[at] == np.asarray(mine, np.int64)).argmax(axis=1) == band]
-                if not len(at):
+        for k, others in _may_link(cells, similarity):
+            a, ca = held[k]
+            for some in np.array_split(others, 1 + int(weight[others].sum()) // CELL_SHINGLES):
+                if not len(some):
                     continue
-                a, ca = _bag(items, counts)
-                lengths = np.array([len(held[k][0]) for k in at])
-                b, cb = np.concatenate([held[k][0] for k in at]), np.concatenate([held[k][1] for k in at])
+                lengths = np.array([len(held[o][0]) for o in some])
+                b, cb = np.concatenate([held[o][0] for o in some]), np.concatenate([held[o][1] for o in some])
                 place = np.minimum(np.searchsorted(a, b), len(a) - 1)
                 both = np.add.reduceat(np.where(a[place] == b, np.minimum(ca[place], cb), 0), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-                found += [(min(n, m), max(n, m)) for m in node[at][both >= similarity * (w + weight[at] - both)].tolist()]
+                found += [(min(int(node[k]), m), max(int(node[k]), m)) for m in node[some][both >= similarity * (weight[k] + weight[some] - both)].tolist()]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("key", "i", "j").applyInPandas(each, "a long, b long").distinct()
+    schema = "token long, node long, label long, weight long, start long, outside boolean"
+    left = cut(_in_cells(postings).groupBy("bin", "i", "j").applyInPandas(possible, schema).distinct())
+    rows = _in_cells(left).join(bags, "node")  # bags join last, so that only ids move before
+    return rows.groupBy("bin", "i", "j").applyInPandas(compared, "a long, b long").distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -249,10 +322,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A class is a connected component of documents whose multisets of five-word shingles
     overlap by ``similarity`` or more. Equal bags are one node, so copies are never compared.
-    In each bucket of a band all members are compared with the least one; where a bucket still
-    holds several components, its members outside the largest are compared with those of other
-    components, block by block. So every pair that shares a band is compared or already
-    connected: no link between classes is lost, and no bucket emits its pairs.
+    In each bucket of a band all members are compared with the least one. The members of buckets
+    that still hold several components go through an exact prefix filter: bags that overlap
+    enough share one of their rarest shingles, and at the first one shared have enough left.
+    Those that may overlap are compared with the bags of other components, block by block. So
+    every pair that shares a band is compared, ruled out or already connected: no link between
+    classes is lost, and no bucket emits its pairs.
 
     Null text counts as empty. Texts without words form one class. A null id is kept as null,
     its class like any other's; rows without id are documents of their own. Rows with the
@@ -267,7 +342,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return found.join(own, "__key").join(least, "class_id").select(id_col, F.col("__class").alias("class_id"), "n_copies", "n_links")
     sigs = cut(signatures(docs, id_col, text_col))
     nodes = cut(sigs.groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.count("*").alias("n_copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
-    members = nodes.select("node", "weight", F.posexplode("bands").alias("band", "key"))
+    members = nodes.select("node", "weight", F.explode("bands").alias("key"))
     pivots = members.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "n", F.col("pivot.node").alias("a"), F.col("pivot.weight").alias("weight_a"))
     shared = cut(members.join(pivots, "key"))  # only buckets with two members or more are looked at from here on
     pairs = cut(shared.where((F.col("node") != F.col("a")) & _can_reach(F.col("weight"), F.col("weight_a"), similarity)).select("a", F.col("node").alias("b")).distinct())
@@ -278,11 +353,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = cut(_verified(pairs, bags, similarity).unionByName(same_id).distinct())
     labels = cut(components(nodes, links))
 
-    held = shared.where("n > 2").select("key", "band", "node").join(labels, "node")  # the two of a pair are compared already
-    sizes = held.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
-    left = held.join(mixed, "key").select("key", "band", "node", "label", (F.col("label") != F.col("main")).alias("outside"))
-    more = cut(_compared_in_cells(left, bags.join(nodes.select("node", "weight", "bands"), "node"), similarity))
+    # labels meet each node once, not each of its buckets; the two of a pair are compared already
+    held = shared.where("n > 2").groupBy("node", "weight").agg(F.collect_list("key").alias("keys"))
+    held = cut(held.join(labels, "node").select("node", "weight", "label", F.explode("keys").alias("key")))
+    mixed = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    open_nodes = cut(held.join(mixed, "key", "left_semi").select("node", "label", "weight").distinct())
+    postings = cut(_between_labels(cut(_prefixes(open_nodes, bags, similarity)), similarity))
+    more = cut(_compared_in_cells(postings, bags, similarity))
     if not more.isEmpty():
         links = cut(links.unionByName(more).distinct())
         labels = cut(components(nodes, links))
