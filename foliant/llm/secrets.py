@@ -30,8 +30,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # a run shorter than 16 fails, and so does whatever starts later in it
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of these characters is one match; shorter ones fail
 
-#: Bytes that one compressed layer may unfold to; a guard against decompression bombs.
-UNFOLDED = 1 << 26
+#: Bytes of a compressed layer that are held at once, and those that a part shares with the part before. A layer
+#: that unfolds to more is read in parts, to its end; only an encoded block of more than ``SHARED`` inside of it may be cut.
+UNFOLDED, SHARED = 1 << 26, 1 << 20
 
 _VISIBLE = re.compile(r"[!-~]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -98,24 +99,60 @@ def _is_packed(data: bytes) -> bool:
     return data[:2] == b"\x1f\x8b" or (len(data) > 1 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)
 
 
-def _unfold(data: bytes) -> bytes | None:
-    """Zlib or gzip contents, of all members up to ``UNFOLDED`` bytes and to the last whole character, else None."""
-    out, size = [], 0
-    while size < UNFOLDED and _is_packed(data):
-        unpack = zlib.decompressobj(47)
-        try:
-            out.append(unpack.decompress(data, UNFOLDED - size))
-        except zlib.error:
-            break
-        size, data = size + len(out[-1]), unpack.unused_data
-    if not out:
-        return None
-    whole = b"".join(out)
-    if size >= UNFOLDED:  # the cut may be inside a character
-        for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
-            if whole[-k] >= 0xC0:
-                return whole[:-k] if whole[-k] >= least else whole
-    return whole
+def _members(data: bytes) -> Iterator[bytes]:
+    """Zlib or gzip contents of all members, in parts of at most ``UNFOLDED`` bytes; a broken member ends them with what it had."""
+    while _is_packed(data):
+        unpack, some = zlib.decompressobj(47), False
+        while not unpack.eof:
+            try:
+                part = unpack.decompress(data, UNFOLDED)
+            except zlib.error:
+                return
+            data = unpack.unconsumed_tail
+            if not part and not data:
+                break
+            some = True
+            yield part
+        if not some and not unpack.eof:
+            return
+        data = unpack.unused_data
+
+
+def _unfold(data: bytes) -> Iterator[bytes]:
+    """The contents of compressed bytes, in parts of about ``UNFOLDED`` bytes that share ``SHARED`` bytes, so that what lies across a cut is whole in one of them."""
+    held = bytearray()
+    for part in _members(data):
+        held += part
+        if len(held) >= UNFOLDED:
+            yield bytes(held)
+            del held[:-SHARED]
+    if held:
+        yield bytes(held)
+
+
+def _unfolded(data: bytes) -> Iterator[bytes]:
+    """What compressed bytes hold at last: contents that are compressed in turn are unfolded too. One that holds itself ends there."""
+    seen, work = set(), [data]
+    while work:
+        for part in _unfold(work.pop()):
+            name = hashlib.blake2b(part, digest_size=16).digest()
+            if name not in seen:
+                seen.add(name)
+                if _is_packed(part) and next(_members(part), None):
+                    work.append(part)
+                else:
+                    yield part
+
+
+def _begins_packed(data: bytes) -> bool:
+    """Whether compressed bytes seem to begin here: most places that look so do not unfold at all."""
+    if not _is_packed(data):
+        return False
+    try:
+        zlib.decompressobj(47).decompress(data[:64], 1 << 12)
+    except zlib.error:
+        return False
+    return True
 
 
 def _escapes(layer: Layer, pattern: re.Pattern, a: int, b: int, decode) -> Layer | None:
@@ -184,9 +221,11 @@ def _block_layers(layer: Layer, m: re.Match, whole_read: bool) -> Iterator[Layer
     core = _BREAK.sub("", m[0])
     if len(core) < 16:
         return
+    places: list[int] = []
 
     def made(text: str, a: int, b: int) -> Layer:
-        places = [i for i in range(m.start(), m.end()) if layer.text[i] not in " \t\r\n="]
+        if not places:
+            places.extend(i for i in range(m.start(), m.end()) if layer.text[i] not in " \t\r\n=")
         last = m.end() if b >= len(core) else places[b - 1] + 1
         return Layer(text, Same(layer.begin[places[a]]), Same(layer.end[last - 1]))
 
@@ -195,14 +234,27 @@ def _block_layers(layer: Layer, m: re.Match, whole_read: bool) -> Iterator[Layer
             yield made(text, k + a // 3 * 4, k + -(-b // 3) * 4)
     for found in _PACKED.finditer(core, 1 if whole_read else 0):
         k = found.start()
-        if _unfold(_bytes(core[k : k + 64])) is None:  # most such places fail here
-            continue
-        data, depth = _bytes(core[k:]), 0
-        while (more := _unfold(data)) is not None:
-            data, depth = more, depth + 1
-        if depth:
-            for _, _, text in _pieces(data):
-                yield made(text, k, len(core))
+        if _begins_packed(_bytes(core[k : k + 64])):
+            for data in _unfolded(_bytes(core[k:])):
+                for _, _, text in _pieces(data):
+                    yield made(text, k, len(core))
+
+
+_BYTE_RUN = re.compile(r"(?=(%[89A-Fa-f][0-9A-Fa-f]|\\x[89A-Fa-f][0-9A-Fa-f]|\\u00[89A-Fa-f][0-9A-Fa-f]))")
+_ONE_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|([\x00-\x7f])")
+_HEADER = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78]")
+
+
+def _packed_escapes(layer: Layer, a: int, b: int) -> Iterator[Layer]:
+    """Compressed bytes written with escapes, within a run of visible characters."""
+    found = list(_ONE_BYTE.finditer(layer.text, a, b))
+    data = bytes(int(m[1] or m[2] or m[3], 16) if m[4] is None else ord(m[4]) for m in found)
+    for head in _HEADER.finditer(data):
+        k = head.start()
+        if _begins_packed(data[k : k + 64]):
+            for part in _unfolded(data[k:]):
+                for _, _, text in _pieces(part):
+                    yield Layer(text, Same(layer.begin[found[k].start()]), Same(layer.end[b - 1]))
 
 
 def inner_layers(layer: Layer) -> Iterator[Layer]:
@@ -218,19 +270,22 @@ def inner_layers(layer: Layer) -> Iterator[Layer]:
                 new = _escapes(layer, pattern, a, b, decode)
                 if new is not None and new.text and new.text != text[a:b]:
                     yield new
+    if _BYTE_RUN.search(text):
+        for m in _VISIBLE.finditer(text):
+            if _BYTE_RUN.search(m[0]):
+                yield from _packed_escapes(layer, *m.span())
     read = set()
     for m in _BASE64.finditer(text):
         core = m[0].rstrip("=")
         if len(core) % 4 == 1:
             continue
         data = _bytes(core)
-        whole = (layer.begin[m.start()], layer.end[m.end() - 1])
-        while (more := _unfold(data)) is not None:
-            data = more
-        new = _readable(data)
-        if new is not None:
+        texts = [x for x in [_readable(data)] if x is not None]
+        if not texts and _begins_packed(data):
+            texts = (x for part in _unfolded(data) for _, _, x in _pieces(part))
+        for new in texts:
             read.add(m.span())
-            yield Layer(new, Same(whole[0]), Same(whole[1]))
+            yield Layer(new, Same(layer.begin[m.start()]), Same(layer.end[m.end() - 1]))
     for m in _BLOCK.finditer(text):
         yield from _block_layers(layer, m, m.span() in read)
 
@@ -263,6 +318,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Columns: ``id_col``, n_assign, n_access, n_hex, base_sha256, spans (all, kind:start:end
     joined by commas), found (the same as an array of structs). Offsets count code points.
 
+    Layers are read to their ends, whatever their size: compressed ones in parts that overlap.
     Null text counts as empty and has no spans; a null id stays null; repeated rows give
     repeated results; an empty table gives no rows; other columns are ignored.
     """

@@ -7,6 +7,7 @@ import itertools
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from urllib.parse import quote
@@ -544,14 +545,43 @@ def test_glued_base64():
 
 
 def test_all_members(monkeypatch):
-    """Later members of a gzip stream are read; a cut by the guard leaves whole characters."""
+    """Later members of a gzip stream are read, and so is all of a layer that unfolds to more than is held at once."""
     packed = base64.b64encode(gzip.compress(b"first member, ") + gzip.compress(b"password=hunter2hunter2")).decode()
     assert secrets.all_spans(f"é {packed} z")[1] == [(2, 0, 2 + len(packed))]
-    for inner in ("é", "日", "😀"):
-        for at in range(24, 24 + len(inner.encode())):
-            monkeypatch.setattr(secrets, "UNFOLDED", at)
-            got = secrets._unfold(gzip.compress(f"password=hunter2hunter2 {inner} and more".encode()))
-            assert got == b"password=hunter2hunter2 "
+    monkeypatch.setattr(secrets, "UNFOLDED", 1000)
+    monkeypatch.setattr(secrets, "SHARED", 100)
+    for at in (0, 950, 975, 990, 1000, 4000):
+        plain = ("é日 " * 2000).encode()
+        for data in (gzip.compress(plain[:at] + b" password=hunter2hunter2 " + plain), gzip.compress(gzip.compress(plain[:at] + b" password=hunter2hunter2 " + plain))):
+            code = base64.b64encode(data).decode()
+            assert (2, 0, 2 + len(code)) in secrets.all_spans(f"é {code} z")[1], at
+
+
+def test_ends_and_broken_members():
+    whole = gzip.compress(b"password=hunter2hunter2 " + bytes(range(32, 127)) * 50)
+    for data in (whole[:-4], whole + b"tail", whole + gzip.compress(b"x")[:-6]):  # no checksum, other bytes, a cut member
+        code = base64.b64encode(data).decode()
+        assert any(k == 0 for _, k, _ in secrets.all_spans(code)[1])
+    assert list(secrets._unfold(b"")) == list(secrets._unfold(b"\x1f\x8b")) == []
+
+
+def test_split_context():
+    """A layer begins before its escape."""
+    for text in ("password = %68unter2%68unter2xyz", r"password = \u0068unter2\u0068unter2xyz", "token: %41bcdefgh12345"):
+        assert (0, 0, len(text)) in secrets.all_spans(text)[1]
+
+
+def test_packed_behind_escapes():
+    for data in (gzip.compress(b"password=hunter2hunter2 ok"), zlib.compress(b"password=hunter2hunter2 ok")):
+        for code in ("".join(f"%{b:02x}" for b in data), "".join(f"\\x{b:02x}" for b in data), quote(data), "q=" + quote(data, safe="")):
+            assert any(k == 0 and b == 2 + len(code) for _, k, b in secrets.all_spans(f"é {code} z")[1]), code
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000 + "%41", "%41" * 300_000, "&#65;" * 200_000, "Ab9/" * 250_000 + "\\u0041"], ids=["one", "percent", "entities", "base64"])
+def test_long_unbroken_texts(text):
+    began = time.perf_counter()
+    secrets.all_spans(text)
+    assert time.perf_counter() - began < 30  # a pass that grows with the square takes ten minutes
 
 
 def test_scan_documents(docs, texts, odd, none):
