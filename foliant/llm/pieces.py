@@ -30,15 +30,21 @@ class WordIds:
     """Ids of whole texts as little-endian numbers of ``width`` bytes.
 
     ``spaced``: the vocabulary marks a leading space (byte-level BPE); else white space is
-    dropped and letters are lowered (word-end BPE).
+    dropped and letters are lowered (word-end BPE). ``plain_specials``: the strings of the
+    vocabulary's special tokens are ordinary text; else, as the library has it, they are
+    these tokens wherever a text holds them.
     """
 
-    def __init__(self, path: str, spaced: bool) -> None:
+    def __init__(self, path: str, spaced: bool, plain_specials: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        # their strings in a text may be ids of their own, across words: such texts go to the library whole
+        self.specials = [] if plain_specials else [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {t[0] for t in self.specials}  # quick to rule out; a letter may be of either case
+        self.marks |= {m.upper() for m in self.marks}
         self.spaced = spaced
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.first: dict[str, bytes] = {}  # words as they stand
@@ -73,9 +79,13 @@ class WordIds:
             stems.update(zip(new, self.whole(new), strict=True))
         known.update([(word, stems[stem] + stems[tail] if tail else stems[stem]) for word, stem, tail in cut])
 
+    def special(self, text: str) -> bool:
+        """Whether a special token's string may be in the text, whatever the case of its letters."""
+        return any(mark in text for mark in self.marks) and any(t in text.lower() for t in self.specials)
+
     def plain(self, text: str) -> list[str] | None:
         """Words whose ids in a row are the text's, for a vocabulary that drops white space; None if only the library can tell."""
-        if any(c in text for c in ODD):
+        if any(c in text for c in ODD) or self.special(text):
             return None
         if "\u03a3" not in text and is_normalized("NFC", text):
             text = text.lower()  # as the library would, letter by letter; fewer words to learn
@@ -83,6 +93,8 @@ class WordIds:
 
     def lines(self, text: str) -> list[list[str]] | None:
         """Words by line, for a vocabulary that marks spaces; None unless single spaces and line ends are the only white space."""
+        if self.special(text):
+            return None
         out = []
         lines = text.split("\n")
         if not lines[-1] and len(lines) > 1:
@@ -149,11 +161,12 @@ class WordIds:
         return out
 
 
-_KEPT: dict[tuple[str, bool], WordIds] = {}
+_KEPT: dict[tuple[str, bool, bool], WordIds] = {}
 
 
-def word_ids(path: str, spaced: bool) -> WordIds:
+def word_ids(path: str, spaced: bool, plain_specials: bool = False) -> WordIds:
     """One per worker process and vocabulary."""
-    if (path, spaced) not in _KEPT:
-        _KEPT[path, spaced] = WordIds(path, spaced)
-    return _KEPT[path, spaced]
+    key = (path, spaced, plain_specials)
+    if key not in _KEPT:
+        _KEPT[key] = WordIds(*key)
+    return _KEPT[key]
