@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import math
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where the session names no shared folder (tests on one machine).
-LOCAL_SCRATCH = "/tmp/checkpoints/foliant"
-
 #: Rows of an Arrow batch. Texts may hold some 100 KB each, so a batch stays in the tens of MB.
 ARROW_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one if unset."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; on one machine alone a temporary folder may stand in.
+
+    A cluster without that setting is an error: a folder of one machine would lose rows.
+    """
     for get in (lambda: spark.conf.get("spark.checkpoint.dir", None), lambda: spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         if value := get():
             return value.rstrip("/")
-    return LOCAL_SCRATCH
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = os.path.join(tempfile.gettempdir(), f"foliant-{os.getpid()}")
+    spark.conf.set("spark.checkpoint.dir", path)
+    return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
