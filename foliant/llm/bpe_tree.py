@@ -22,7 +22,6 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import small_batches
 
 #: Code points of a leaf, and matches or tokens by which a window grows first.
 LEAF, GROWTH = 16_384, 4
@@ -126,7 +125,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     Null text counts as empty, which has no ids; a null id stays null; repeated rows give
     repeated results; an empty table gives no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,8 @@
-"""Helpers shared by the operators: shared scratch space, ranges of a key, text columns."""
+"""Helpers shared by the operators: shared scratch space, ranges of a key, text columns.
+
+Arrow batches of whole texts stay bounded by Spark itself, which closes a batch at 64 MB
+(``spark.sql.execution.arrow.maxBytesPerBatch``), so no operator changes the session's settings.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +14,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts may hold some 100 KB each, so a batch stays in the tens of MB.
-ARROW_ROWS = 512
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``; on one machine alone a temporary folder may stand in.
@@ -46,11 +47,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keeps Arrow batches of whole texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, small_batches, text_hash
+from foliant.llm.common import cut, text_hash
 
 WORDS, SIMILARITY = 5, 0.8
 
@@ -130,7 +130,6 @@ def _bag_name(items: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, h1 and h2 (128-bit name of the bag), weight (number of shingles), bands (array of longs)."""
-    small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, small_batches, text_hash
+from foliant.llm.common import cut, text_hash
 
-#: Labelled rows that the model is fitted on at most: those with the least hashes of their ids.
+#: Labelled rows that the model is fitted on at most: those with the least hashes of their ids and statistics.
 SAMPLE_ROWS = 20_000
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other symbols
@@ -55,7 +55,6 @@ def statistics(text: str) -> list[float]:
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """``id_col`` and the statistics of every whole text; null counts as empty, ids may be null. ``hashed``: also __hash, the text's."""
-    small_batches(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,7 +183,8 @@ def score_documents(
     Columns: ``id_col``, held_out, score, predicted (1 if the score is at least ``threshold``).
 
     Only text statistics enter a score. The fit sees at most ``sample_rows`` labelled rows
-    (the least hashes of ids, whatever the table's size). Null text counts as empty and is
+    (the least hashes of id and statistics, whatever the table's size; the driver gets about
+    twice as many at most). Null text counts as empty and is
     scored like any; a null id is scored, is not held out unless the empty text's crc says so,
     and meets no label. Repeated labels of an id are averaged and rounded half up, null labels
     ignored; repeated documents are scored each. Without labels the score is a constant.
@@ -197,7 +197,12 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     stats = cut(with_statistics(docs, id_col, text_col, hashed))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("labelled")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
-    rows = stats.join(known, stats[id_col] == known["labelled"]).orderBy(F.xxhash64("labelled"), "labelled", *STATISTICS).limit(sample_rows).select("y", *STATISTICS).toPandas()
+    # the least hashes lie below a threshold known from the count alone, so no task sends more than its share
+    order = F.xxhash64("labelled", *STATISTICS)
+    joined = stats.join(known, stats[id_col] == known["labelled"])
+    if (n := known.count()) > 2 * sample_rows:
+        joined = joined.where(order < F.lit(int((4 * sample_rows / n - 1) * (1 << 63))).cast("long"))  # twice the rows wanted
+    rows = joined.orderBy(order, "labelled", *STATISTICS).limit(sample_rows).select("y", *STATISTICS).toPandas()
     model = fit_rules(rows[list(STATISTICS)].to_numpy(float), rows["y"].to_numpy(int))
     return stats.withColumn("score", model.column())
 

@@ -22,7 +22,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import small_batches
 
 #: Kinds in order, their patterns and least lengths (of group 2 for assign).
 KINDS = ("assign", "access", "hex")
@@ -322,7 +321,6 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text counts as empty and has no spans; a null id stays null; repeated rows give
     repeated results; an empty table gives no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -361,7 +359,6 @@ def mask(text: str, sign: str = "*") -> str:
 
 def mask_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns, with secrets masked in ``text_col``; null stays null."""
-    small_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import range_bounds, range_of, scratch_path, small_batches
+from foliant.llm.common import range_bounds, range_of, scratch_path
 from foliant.llm.pieces import word_ids
 
 MAGIC = b"TIDEF1\0\0"
@@ -126,7 +126,6 @@ def write_token_files(
     below 65,536 take two bytes, others four.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     path = path or scratch_path(spark, "token-files")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bounds = range_bounds(rows.select("doc"), "doc", docs_per_shard, least=64)
@@ -179,7 +178,6 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     a, b = begins[i : i + 512], ends[i : i + 512]
                     yield pd.DataFrame({"shard": shard, "doc_id": s.doc_ids[i : i + 512], "start": base + a, "n_tokens": b - a, "ids": [raw[x * w : y * w] for x, y in zip(a, b, strict=True)], "width": w})
 
-    small_batches(files.sparkSession, 8)
     return files.select("shard", "file").join(F.broadcast(starts), "shard").mapInPandas(documents, "shard int, doc_id long, start long, n_tokens long, ids binary, width int")
 
 
@@ -197,7 +195,6 @@ def digests(files: DataFrame) -> DataFrame:
                 wide = s.ids.astype("<u4")
                 yield pd.DataFrame({"doc_id": s.doc_ids, "start": base + begins, "n_tokens": ends - begins, "ids_crc32": [zlib.crc32(wide[x:y]) for x, y in zip(begins, ends, strict=True)]})
 
-    small_batches(files.sparkSession, 8)
     return files.select("shard", "file").join(F.broadcast(starts), "shard").mapInPandas(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
