@@ -1,6 +1,6 @@
 """Byte-level BPE as a monoid: texts are encoded by halves and joined at the seams.
 
-Leaves go to the tiktoken library. Where two parts meet, a window around the seam is encoded
+In a leaf each match of the pattern is encoded by the tiktoken library. Where two parts meet, a window around the seam is encoded
 anew and grows until the tokens outside are proven to stay: the window must begin at a place
 where the splitting pattern cuts whatever follows, and end where the new cuts meet a cut of
 the right part. Inside one very long match of the pattern the same is done with tokens, and
@@ -14,6 +14,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 
 
 #: Code points of a leaf, and matches or tokens by which a window grows first.
-LEAF, GROWTH = 16_384, 4
+LEAF, GROWTH = 1024, 4
+
+#: Matches whose ids a worker keeps; emptied when full, which costs time only.
+KEPT = 500_000
 
 
 class TreeBpe:
@@ -32,6 +36,7 @@ class TreeBpe:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(pattern)
         self.leaf = leaf
+        self.kept: dict[str, list[int]] = {}
 
     # pieces: one match of the pattern
 
@@ -57,19 +62,27 @@ class TreeBpe:
         half = len(data) // 2
         return self.join_tokens(self.piece(data[:half]), self.piece(data[half:]))
 
+    def match_ids(self, word: str) -> list[int]:
+        """Ids of a match of the pattern within a leaf; common ones are kept."""
+        if (ids := self.kept.get(word)) is None:
+            ids = self.piece(word.encode())
+            if len(word) < 32:
+                if len(self.kept) >= KEPT:
+                    self.kept.clear()
+                self.kept[word] = ids
+        return ids
+
     # texts
 
     def encode(self, text: str) -> list[int]:
         """The ids that the library gives for the whole text, without special tokens."""
-        if len(text) <= self.leaf:
-            return self.encoding.encode_ordinary(text)
-        return [t for part in self._tree(text, 0, len(text))[1] for t in part]
+        return list(chain.from_iterable(self._tree(text, 0, len(text))[1]))
 
     def _tree(self, text: str, a: int, b: int) -> tuple[list[int], list[list[int]]]:
         """Cuts (the starts of matches within a..b, as if nothing lay outside) and each match's ids."""
         if b - a <= self.leaf:
-            starts = [m.start() for m in self.split.finditer(text, a, b)]
-            return starts, [self.piece(text[x:y].encode()) for x, y in zip(starts, [*starts[1:], b], strict=True)]
+            words = [m[0] for m in self.split.finditer(text, a, b)] if self.split.groups else self.split.findall(text, a, b)
+            return list(accumulate(map(len, words), initial=a))[:-1], [self.match_ids(w) for w in words]
         half = (a + b) // 2
         return self._join(text, b, self._tree(text, a, half), self._tree(text, half, b), half)
 
