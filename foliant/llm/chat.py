@@ -82,8 +82,9 @@ def swapped_replies(conversations: DataFrame, ranges: list | None = None) -> tup
 
     turns = conversations.where(F.col("conv_id").isNotNull())
     last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    bounds = range_bounds(last, "conv_id", 20_000, least=8) if ranges is None else ranges
-    dealt = last.select("conv_id", "last", range_of(F.col("conv_id"), bounds).alias("bucket"))
+    last = last.withColumn("reply", F.col("last.text"))
+    bounds = sorted(set(range_bounds(last, "conv_id", "reply", 1 << 23))) if ranges is None else ranges
+    dealt = last.select("conv_id", "last", range_of(F.col("conv_id"), F.col("reply"), bounds).alias("bucket"))
     heads = dealt.groupBy("bucket").agg(F.min(F.struct("conv_id", "last")).alias("head"))
     order = heads.groupBy().agg(F.sort_array(F.collect_list("bucket")).alias("all"))
     after = order.select(F.explode(F.transform("all", lambda x, i: F.struct(x.alias("bucket"), F.element_at("all", F.when(i + 1 < F.size("all"), i + 2).otherwise(1)).alias("next")))).alias("p")).select("p.*")

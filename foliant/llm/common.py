@@ -56,37 +56,50 @@ def text_hash(name: str = "text") -> Column:
     return F.sha2(text_or_empty(name), 256)
 
 
-def range_bounds(df: DataFrame, key: str, rows_per_range: int, least: int = 1) -> list:
-    """Ascending bounds that cut the non-null keys into ranges of about ``rows_per_range`` rows.
+#: Ranges of a key at most: the driver holds one bound each, whatever the table's size. Children of a node of the bounds' tree.
+RANGES, _GROUP = 100_000, 64
 
-    One pass over the key column alone; the driver gets one number a range.
-    """
-    n = df.count()
-    ranges = max(least, math.ceil(n / rows_per_range))
-    if n == 0 or ranges < 2:
-        return []
-    points = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(key, points, max(10_000, 20 * ranges)).alias("q")).head()[0]
-    return sorted(set(found or []))
+#: What stands for a missing id: the least long.
+NO_ID = -(1 << 63)
 
 
-def range_of(key: Column, bounds: list, group: int = 256) -> Column:
-    """The number of bounds below or at the key, 0 to len(bounds); null keys come first (0).
+def range_bounds(rows: DataFrame, key: str, text: str, bytes_per_range: int) -> list[int]:
+    """Ascending bounds that cut the rows, by ``key`` (a long, no nulls), into ranges of about as many bytes of ``text``.
 
-    Looks among every ``group``-th bound, then among the bounds of one group, so that
-    thousands of ranges stay cheap a row.
+    A key that fills several ranges is a bound several times. Two passes, over the text's
+    lengths and over the keys; there are ``RANGES`` ranges at most, which then hold more.
     """
+    size = rows.agg(F.sum(F.octet_length(text))).head()[0] or 0
+    ranges = min(RANGES, max(2 * rows.sparkSession.sparkContext.defaultParallelism, math.ceil(size / bytes_per_range)))
+    found = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)).alias("q")).head()[0]
+    return list(found or [])
+
+
+def _rank(key: Column, bounds: list[int], below: bool) -> Column:
+    """How many bounds lie at or below the key, or below it: a walk down a tree of constants, ``_GROUP`` children a node."""
+
+    def among(values: Column) -> Column:
+        return F.size(F.filter(values, (lambda b: b < key) if below else (lambda b: b <= key)))
+
+    level = bounds
+    levels = [level]
+    while len(level) > _GROUP:
+        level = level[_GROUP - 1 :: _GROUP]
+        levels.append(level)
+    at = None
+    for level in reversed(levels):
+        whole = F.split(F.lit(",".join(map(str, level))), ",").cast("array<bigint>")  # folded to a constant
+        at = among(whole) if at is None else at * F.lit(_GROUP) + among(F.slice(whole, at * F.lit(_GROUP) + 1, F.lit(_GROUP)))
+    return at
+
+
+def range_of(key: Column, text: Column, bounds: list[int]) -> Column:
+    """The range, 0 to len(bounds), of a row; rows of a key that fills several ranges go by their text's hash."""
     if not bounds:
         return F.lit(0)
-
-    def at_or_below(values: Column) -> Column:
-        return F.size(F.filter(values, lambda b: b <= key))
-
-    if len(bounds) <= group:
-        return F.coalesce(at_or_below(F.array(*map(F.lit, bounds))), F.lit(0))
-    coarse = bounds[group - 1 :: group]
-    rows = [bounds[i : i + group] for i in range(0, len(bounds), group)]
-    fine = F.array(*[F.array(*map(F.lit, r)) for r in rows])
-    at = at_or_below(F.array(*map(F.lit, coarse)))
-    inner = at_or_below(F.coalesce(F.get(fine, at), F.array().cast("array<bigint>")))
-    return F.coalesce(F.when(key.isNotNull(), at * F.lit(group) + inner), F.lit(0))
+    high = _rank(key, bounds, below=False)
+    if len(set(bounds)) == len(bounds):
+        return high
+    low = _rank(key, bounds, below=True)
+    share = (F.shiftrightunsigned(F.xxhash64(text), 33) / F.lit(float(1 << 31))) * (high - low)
+    return F.when(high - low > 1, low + 1 + F.floor(share).cast("int")).otherwise(high)

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 import time
@@ -77,7 +78,7 @@ def test_elias_fano():
 
 @pytest.mark.parametrize(("path", "spaced"), [(WORD, False), (BYTE, True)])
 def test_word_ids(path, spaced, texts):
-    t, fast = tokenizer(path), pieces.WordIds(path, spaced)
+    t, fast = Tokenizer.from_file(path), pieces.WordIds(path, spaced)
     all_texts = [*texts.values(), *[x or "" for _, x in ODD if x is not LONG], "a\n\nb", "don't 's x\ty", "it's. ok' 's", "ΣΑΣ. Σ", "é É", "A b c\n d", "İstanbul, ı.", "<|endoftext|> x"]
     random.seed(5)
     all_texts += ["".join(random.choice("ab é\n\t .,'sΣ1$\x1f") for _ in range(random.randint(0, 30))) for _ in range(500)]
@@ -85,7 +86,7 @@ def test_word_ids(path, spaced, texts):
 
 
 def test_token_files(docs, texts):
-    files = token_files.write_token_files(docs, WORD, 1, docs_per_shard=30)
+    files = token_files.write_token_files(docs, WORD, 1, bytes_per_range=20_000, shard_tokens=3000)
     got, t, start = {r.doc_id: r for r in token_files.digests(files).collect()}, tokenizer(WORD), 0
     for doc in sorted(texts):
         ids = [*t.encode(texts[doc], add_special_tokens=False).ids, 1]
@@ -98,6 +99,45 @@ def test_token_files(docs, texts):
     assert shard.document(1).tolist() == [*t.encode(texts[int(shard.doc_ids[1])], add_special_tokens=False).ids, 1]
 
 
+def test_special_tokens():
+    """In a text they are what the library makes of them; as ordinary text only by the parameter."""
+    some = ["<|endoftext|> x", "a <|ENDOFTEXT|>x", "a<|endoftext|>b plain <b", "x <|startoftext|> y", "<|endof text|> < <|", "plain"]
+    for path, spaced in ((WORD, False), (BYTE, True)):
+        library = Tokenizer.from_file(path)
+        assert pieces.WordIds(path, spaced).encode(some) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in some]
+        assert pieces.WordIds(path, spaced, plain_specials=True).encode(some) == [np.array(tokenizer(path).encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in some]
+
+
+def test_hot_ids_fill_several_ranges(spark):
+    rows = [(None if i % 3 else 7 if i % 2 else i, f"text {i} " * 9) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    files = token_files.write_token_files(df, WORD, 1, bytes_per_range=2000)
+    assert files.count() > 20 and files.agg(F.max("docs")).head()[0] < 120
+    got, t, at = token_files.digests(files).orderBy("start").collect(), tokenizer(WORD), 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    want = Counter((d if d is not None else -(1 << 63), len(t.encode(x, add_special_tokens=False).ids) + 1) for d, x in rows)
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == want and [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+    turns = fingerprint.in_turn(df, bytes_per_range=2000).collect()
+    assert max(Counter(r.bucket for r in turns).values()) < 120
+    texts = [r.text for r in turns if not r.ghost]
+    assert sorted(texts) == sorted(x for _, x in rows) and sorted(r.next_text for r in turns if not r.ghost) == sorted(texts)
+
+
+def test_ranges_of_many_bounds(spark):
+    from foliant.llm.common import range_of
+
+    bounds = sorted(random.Random(2).choices(range(-9000, 9000), k=5000))
+    keys = [*range(-9100, 9100, 7), -(1 << 63), (1 << 63) - 1]
+    rows = spark.createDataFrame([(k, str(i)) for k in keys for i in range(3)], "k long, t string").withColumn("r", range_of(F.col("k"), F.col("t"), bounds)).collect()
+    from bisect import bisect_left, bisect_right
+
+    for r in rows:
+        low, high = bisect_left(bounds, r.k), bisect_right(bounds, r.k)
+        assert r.r == high if high - low < 2 else low < r.r <= high
+
+
 def test_token_files_odd(odd, none):
     rows = token_files.digests(token_files.write_token_files(odd, WORD, 1)).collect()
     assert len(rows) == len(ODD) and rows and sorted(r.start for r in rows)[0] == 0
@@ -193,7 +233,7 @@ def _jaccard(a, b):
 
 
 def test_fingerprints(spark, docs, texts):
-    got = {r.doc_id: r for r in fingerprint.edits_in_turn(docs, rows_per_range=20).collect()}
+    got = {r.doc_id: r for r in fingerprint.edits_in_turn(docs, bytes_per_range=20_000).collect()}
     order, off, edits = sorted(texts, reverse=True), [], {}
     for d, after in zip(order, [*order[1:], order[0]], strict=True):
         half = len(texts[d]) // 2
@@ -219,6 +259,74 @@ def test_lanes_follow_generalised_jaccard(spark):
     assert abs(np.mean(seen) - np.mean(want)) < 0.025
 
 
+def _lanes(text, lanes):
+    """The samples of a text, one word and lane at a time."""
+    import xxhash
+
+    def h(*parts):  # Spark's xxhash64 of longs and ints in a row
+        seed = 42
+        for value, size in parts:
+            seed = xxhash.xxh64_intdigest((value & (1 << 8 * size) - 1).to_bytes(size, "little"), seed)
+        return seed
+
+    def at(table, cell, part):
+        return float(f"{table[cell]:.5f}") + float(f"{table[cell + 1] - table[cell]:.5f}") * part
+
+    of_r, of_c, of_low = fingerprint._tables()
+    out = []
+    for lane in range(lanes):
+        best = None
+        for word, n in Counter(re.split("[ \t\r\n]", text)).items():
+            term = xxhash.xxh64_intdigest(word.encode(), 42)
+            h1, h2 = h((term, 8), (lane, 4)), h((lane, 4), (term, 8))
+            r, b = at(of_r, h1 & 255, (h1 >> 8 & 0xFFFF) / 65536), ((h1 >> 24 & 0xFFFFFF) + 0.5) / (1 << 24)
+            cell, sub, part = h2 & 255, h2 >> 8 & 255, (h2 >> 16 & 0xFFFF) / 65536
+            log_c = at(of_c, cell, (sub + part) / 256) if cell else at(of_low, sub, part)
+            t = math.floor((math.log(n) if n > 1 else 0.0) / r + b)
+            a = math.floor((log_c - r * (t - b + 1) + 64) * (1 << 24))
+            name = (h2 >> 20 ^ t * 0x61C88647) & 0xFFFFFFFF
+            best = min(x for x in (best, (a, name)) if x is not None)
+        out.append(best[1])
+    return out
+
+
+def test_fingerprint_by_brute_force(spark):
+    some = {1: "a b c a a", 2: "", 3: "x  y\tz\nx", 4: "one two three four five six seven eight one two " * 7}
+    got = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(spark.createDataFrame(list(some.items()), SCHEMA)).collect()}
+    for d, text in some.items():
+        assert got[d] == "".join(f"{x:08x}" for x in _lanes(text, fingerprint.LANES))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_tables_stand_for_gamma_variates(seed):
+    """Samples from the tables collide as often as the generalised Jaccard similarity says, and as often as samples of exact variates."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 6, 60), rng.integers(0, 6, 60) * (rng.random(60) < 0.8)
+    lanes = 20_000
+    of_r, of_c, of_low = (np.array(t) for t in fingerprint._tables())
+    u, v, beta = rng.random((lanes, 60)), rng.random((lanes, 60)), rng.random((lanes, 60))
+
+    def table(values, x):
+        cell = (x * 256).astype(int)
+        return values[cell] + (values[cell + 1] - values[cell]) * (x * 256 - cell)
+
+    def agree(r, log_c):
+        best = []
+        for w in (a, b):
+            with np.errstate(divide="ignore"):
+                t = np.floor(np.where(w > 0, np.log(np.maximum(w, 1)), 0) / r + beta)
+            key = np.where(w > 0, log_c - r * (t - beta + 1), np.inf)
+            at = key.argmin(axis=1)
+            best.append((at, t[np.arange(lanes), at]))
+        return ((best[0][0] == best[1][0]) & (best[0][1] == best[1][1])).mean()
+
+    want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    got = agree(table(of_r, u), np.where(v < 1 / 256, table(of_low, np.minimum(v * 256, 1 - 1e-9)), table(of_c, v)))
+    exact = agree(rng.gamma(2, 1, (lanes, 60)), np.log(rng.gamma(2, 1, (lanes, 60))))
+    error = (want * (1 - want) / lanes) ** 0.5
+    assert abs(got - want) < 4 * error and abs(got - exact) < 6 * error
+
+
 def test_fingerprints_odd(spark, odd, none):
     got = fingerprint.edits_in_turn(odd).collect()
     assert len(got) == len(ODD)
