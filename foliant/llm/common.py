@@ -35,6 +35,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as read, dealt out anew if fewer of its partitions have rows than there are cores.
+
+    A file of one row group is one partition with rows, however many the scan has. Large scans
+    are left as they are; for others the rows are counted from the files' footers.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() > 8 * cores:
+        return scan
+    held = scan.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).count()
+    return scan.repartition(2 * cores) if 0 < held < cores else scan
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, in files of the shared folder.
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe_tree, chat, exact_dedup, fingerprint, html_text, near_dedup, packing, quality, secrets, token_files
+from foliant.llm.common import spread
 
 #: Where the public vocabularies lie; replace to use others of the same form.
 vocabulary = public_tokenizers.path
@@ -22,7 +23,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_groups(spread(_table(spark, sf_dir, "documents")))
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_tree.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    return bpe_tree.encode_documents(spread(_table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
 def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +44,11 @@ def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(_table(spark, sf_dir, "pages"))
+    return html_text.extract(spread(_table(spark, sf_dir, "pages")))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, room=2048)
+    return packing.pack_documents(spread(_table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.json"), end_id=0, room=2048)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +56,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.score_documents(spread(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_documents(_table(spark, sf_dir, "documents")).drop("found")
+    return secrets.scan_documents(spread(_table(spark, sf_dir, "documents"))).drop("found")
 
 
 QUERIES = {
