@@ -23,6 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import in_parts
 
 #: Code points of a leaf, and matches or tokens by which a window grows first.
 LEAF, GROWTH = 1024, 4
@@ -142,7 +143,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = tree_bpe(ranks_path, pattern, leaf)
-        for batch in batches:
+        for batch in in_parts(batches):
             ids = [bpe.encode(t) for t in batch["text"].tolist()]
             decoded = [bpe.decode(x) for x in ids]
             out = pd.DataFrame({id_col: batch["id"], "n_tokens": [len(x) for x in ids]})

@@ -1,7 +1,8 @@
 """Helpers shared by the operators: shared scratch space, ranges of a key, text columns.
 
 Arrow batches of whole texts stay bounded by Spark itself, which closes a batch at 64 MB
-(``spark.sql.execution.arrow.maxBytesPerBatch``), so no operator changes the session's settings.
+(``spark.sql.execution.arrow.maxBytesPerBatch``), and :func:`in_parts` bounds what is made of
+them at once, so no operator changes the session's settings.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +64,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_parts(batches: Iterator[pd.DataFrame], column: str = "text", size: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """The batches' rows in frames of about ``size`` characters, so that what a worker makes of texts at once is bounded by bytes, not rows."""
+    for batch in batches:
+        ends = np.cumsum(batch[column].str.len().to_numpy(np.int64))
+        for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(ends // size)) + 1):
+            if len(rows):
+                yield batch.iloc[rows[0] : rows[-1] + 1].reset_index(drop=True)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, in_parts
 
 #: Words of a repeated run (a shorter block must be repeated whole), and pages of one suffix array (a hot host has several, which are merged).
 RUN, PAGES = 8, 500
@@ -272,7 +272,7 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in in_parts(batches, "html"):
             rows = []
             for page, h, url, data in zip(batch["page"].tolist(), batch["h"].tolist(), batch["url"].tolist(), batch["html"].tolist(), strict=True):
                 found = page_blocks(data)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, text_hash
+from foliant.llm.common import cut, in_parts, text_hash
 
 WORDS, SIMILARITY = 5, 0.8
 
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc, h1 and h2 (128-bit name of the bag), weight (number of shingles), bands (array of longs)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = []
             for doc, text in zip(batch["doc"].tolist(), batch["text"].tolist(), strict=True):
                 items, counts = shingles(text)
@@ -154,7 +154,7 @@ def _bags(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Data
     texts = _rows(docs, id_col, text_col).join(nodes.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in in_parts(batches):
             found = [shingles(t) for t in batch["text"].tolist()]
             yield pd.DataFrame({"node": batch["doc"], "items": [i.tobytes() for i, _ in found], "counts": [c.astype("<i4").tobytes() if len(c) and c.max() > 1 else b"" for _, c in found]})
 

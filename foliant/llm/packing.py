@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, in_parts
 from foliant.llm.pieces import word_ids
 
 #: Groups of large lengths that are tried, and the share of a sequence from which a length is large.
@@ -210,7 +210,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, room: int, id_co
         encoder = word_ids(vocabulary, spaced)
         end, w = encoder.pack([end_id]), encoder.width
         part, seen = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64)
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = []
             for doc, ids in zip(batch["doc"].tolist(), encoder.encode(batch["text"].tolist()), strict=True):
                 wide = np.frombuffer(ids + end, f"<u{w}").astype("<u4")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, text_hash
+from foliant.llm.common import cut, in_parts, text_hash
 
 #: Labelled rows that the model is fitted on at most: those with the least hashes of their ids and statistics.
 SAMPLE_ROWS = 20_000
@@ -58,7 +58,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in in_parts(batches):
             out = pd.DataFrame([statistics(t) for t in batch["text"].tolist()], columns=list(STATISTICS))
             out.insert(0, id_col, batch["id"].to_numpy())
             if hashed:

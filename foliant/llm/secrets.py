@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import in_parts
 
 #: Kinds in order, their patterns and least lengths (of group 2 for assign).
 KINDS = ("assign", "access", "hex")
@@ -325,7 +326,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = hashlib.sha256(b"").hexdigest()
-        for batch in batches:
+        for batch in in_parts(batches):
             maybe = pc.match_substring_regex(pa.array(batch["text"], pa.large_string()), _ANY).to_numpy(zero_copy_only=False)
             n = len(batch)
             out = {id_col: batch["id"], "n_assign": [0] * n, "n_access": [0] * n, "n_hex": [0] * n, "base_sha256": [none] * n, "spans": [""] * n, "found": [[]] * n}

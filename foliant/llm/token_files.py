@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import NO_ID, range_bounds, range_of, scratch_path
+from foliant.llm.common import NO_ID, in_parts, range_bounds, range_of, scratch_path
 from foliant.llm.pieces import word_ids
 
 MAGIC = b"TIDEF1\0\0"
@@ -155,7 +155,7 @@ def write_token_files(
         def done() -> pd.DataFrame:
             return pd.DataFrame({"shard": [number], "first_id": [ids[0]], "docs": [len(ids)], "tokens": [size // encoder.width], "file": [pack_shard(ids, tokens, encoder.width)]})
 
-        for batch in batches:
+        for batch in in_parts(batches):
             encoded = encoder.encode(batch["text"].tolist())
             for place, doc, found in zip(batch["range"].tolist(), batch["doc"].tolist(), encoded, strict=True):
                 if not ids:
