@@ -100,8 +100,11 @@ def parse_cmap(data: bytes) -> dict[int, str]:
             a, b = int(re.sub(r"\s", "", low), 16), int(re.sub(r"\s", "", high), 16)
             if dst:
                 first = _utf16(dst)
-                for i in range(min(b - a + 1, 0x10000)):
-                    out[a + i] = first[:-1] + chr(ord(first[-1]) + i) if first else ""
+                if b - a >= CODES:
+                    raise ValueError("a code range is longer than codes of four bytes in use can be")
+                for i in range(b - a + 1):
+                    last = ord(first[-1]) + i if first else 0
+                    out[a + i] = first[:-1] + chr(last) if first and last < 0x110000 else ""
             else:
                 for i, item in enumerate(re.findall(_HEX, items)):
                     if a + i <= b:
@@ -109,6 +112,10 @@ def parse_cmap(data: bytes) -> dict[int, str]:
     return out
 
 
+#: Codes of one range at most; a longer one is an error of the file, not cut.
+CODES = 0x110000
+
+
 def reverse_map(codes: dict[int, str]) -> dict[str, int]:
     """Characters to the code that was mapped first; only mappings to one character count."""
     out: dict[str, int] = {}
@@ -131,7 +138,10 @@ def cid_widths(runs: list[Any]) -> dict[int, float]:
             out |= {int(runs[i]) + k: float(w) for k, w in enumerate(runs[i + 1]) if isinstance(w, (int, float))}
             i += 2
         elif i + 2 < len(runs):
-            out |= dict.fromkeys(range(int(runs[i]), int(runs[i + 1]) + 1), float(runs[i + 2]))
+            low, high = int(runs[i]), int(runs[i + 1])
+            if high - low >= CODES:
+                raise ValueError("a run of widths is longer than a font has characters")
+            out |= dict.fromkeys(range(low, high + 1), float(runs[i + 2]))
             i += 3
         else:
             break

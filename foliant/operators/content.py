@@ -183,8 +183,9 @@ class Interpreter:
         self.move(0.0, -self.state.leading)
 
 
-def _first(operands: list[Any]) -> Any:
-    return operands[0] if operands else None
+def _last(operands: list[Any]) -> Any:
+    """Operators take the operands next to them; more before these do not count."""
+    return operands[-1] if operands else None
 
 
 def _font(t: Interpreter, v: list, i: int) -> None:
@@ -200,14 +201,14 @@ def _leading_move(t: Interpreter, v: list, i: int) -> None:
 
 def _quote(t: Interpreter, v: list, i: int) -> None:
     t.next_line()
-    t.show(_first(v), i)
+    t.show(_last(v), i)
 
 
 def _double_quote(t: Interpreter, v: list, i: int) -> None:
     word, char = _numbers(v, 2)
     t.put(word_space=word, char_space=char)
     t.next_line()
-    t.show(v[2] if len(v) > 2 else None, i)
+    t.show(_last(v) if len(v) > 2 else None, i)
 
 
 def _restore(t: Interpreter, v: list, i: int) -> None:
@@ -236,8 +237,8 @@ _HANDLERS: dict[str, Callable[[Interpreter, list, int], None]] = {
     "TD": _leading_move,
     "Tm": lambda t, v, i: t.put(text=_numbers(v, 6), line=_numbers(v, 6)),
     "T*": lambda t, v, i: t.next_line(),
-    "Tj": lambda t, v, i: t.show(_first(v), i),
-    "TJ": lambda t, v, i: t.show_all(_first(v), i),
+    "Tj": lambda t, v, i: t.show(_last(v), i),
+    "TJ": lambda t, v, i: t.show_all(_last(v), i),
     "'": _quote,
     '"': _double_quote,
     "q": lambda t, v, i: t.stack.append(t.state),
@@ -250,8 +251,8 @@ _HANDLERS: dict[str, Callable[[Interpreter, list, int], None]] = {
     "G": _color("stroke", 1, _gray),
     "k": _color("fill", 4, _cmyk),
     "K": _color("stroke", 4, _cmyk),
-    "cs": lambda t, v, i: t.put(fill_space=str(_first(v) or "")),
-    "CS": lambda t, v, i: t.put(stroke_space=str(_first(v) or "")),
+    "cs": lambda t, v, i: t.put(fill_space=str(_last(v) or "")),
+    "CS": lambda t, v, i: t.put(stroke_space=str(_last(v) or "")),
 }
 
 

@@ -1,7 +1,8 @@
 """Queries over the standard tables, one for each operator of the engine that SQL can express, with their SQL.
 
-The functions call the same kernels as the document operators; only key, order and value
-columns differ.
+Most functions call the kernels of ``functions`` and ``operators`` that also serve documents;
+only key, order and value columns differ. Where the document operator works on a file's bytes,
+the query states its rule over columns instead, and the operator has tests of its own.
 """
 
 from __future__ import annotations
@@ -78,23 +79,13 @@ def escape_text(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.escaped(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, decode(unhex(hex(encode(left(text, 200))))) AS text FROM documents")
-def hex_decode(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.decode(F.unhex(F.hex(F.substring("text", 1, 200))), "UTF-8").alias("text"))
-
-
-@query("SELECT doc_id, lower(hex(encode(left(text, 200)))) AS hex FROM documents")
-def hex_encode(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.lower(F.hex(F.substring("text", 1, 200))).alias("hex"))
-
-
 @query("SELECT doc_id, decode(unhex(hex(encode(text)))) AS text FROM documents")
-def hex_decode_whole(spark, sf):
+def hex_decode(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.decode(F.unhex(F.hex("text")), "UTF-8").alias("text"))
 
 
 @query("SELECT doc_id, lower(hex(encode(text))) AS hex FROM documents")
-def hex_encode_whole(spark, sf):
+def hex_encode(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.lower(F.hex("text")).alias("hex"))
 
 
@@ -299,20 +290,8 @@ def width_lookup(spark, sf):
     return rel.lookup(lines, widths, ["l_partkey"], "p_retailprice", F.lit(1000.0), "width")
 
 
-@query("""
-    SELECT doc_id, CAST(sum((CASE WHEN ord BETWEEN 97 AND 122 THEN 500 + (ord - 97) * 10 ELSE 600 END)) AS DOUBLE) / 1000 * 12 AS width
-    FROM (SELECT doc_id, ascii(c) AS ord FROM (SELECT doc_id, unnest(string_split(left(text, 400), '')) AS c FROM documents)) GROUP BY doc_id
-""")
-def string_width(spark, sf):
-    # widths of the letters by code; any other character has the default
-    widths = spark.createDataFrame([(chr(97 + i), 500.0 + 10 * i) for i in range(26)], "c string, w double")
-    chars = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.substring("text", 1, 400), "")).alias("c"))
-    found = rel.lookup(chars, F.broadcast(widths), ["c"], "w", F.lit(600.0), "w")
-    return found.groupBy("doc_id").agg((F.sum("w") / 1000 * 12).alias("width"))
-
-
 @query(None)
-def string_width_whole(spark, sf):
+def string_width(spark, sf):
     """Whole texts, row by row: every character has the default, letters differ from it. An empty text has no width, null stays null."""
     text = F.col("text")
     counts = [(F.length(text) - F.length(F.replace(text, F.lit(chr(97 + i)), F.lit("")))) * F.lit(500.0 + 10 * i - 600.0) for i in range(26)]
@@ -330,26 +309,13 @@ def regex_pairs(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(both).alias("place", "p")).select("page_id", F.col("place").cast("bigint").alias("place"), F.col("p.src").alias("src"), F.col("p.dst").alias("dst"))
 
 
-@query("SELECT p_name AS unicode, arg_min(p_partkey, p_partkey) AS code FROM part WHERE length(p_name) < 12 GROUP BY p_name")
+@query("SELECT p_name AS unicode, arg_min(p_partkey, p_partkey) AS code FROM part GROUP BY p_name")
 def reverse_lookup(spark, sf):
-    return table(spark, sf, "part").where(F.length("p_name") < 12).groupBy(F.col("p_name").alias("unicode")).agg(F.min_by("p_partkey", "p_partkey").alias("code"))
-
-
-@query("""
-    SELECT doc_id, string_agg(hex, '' ORDER BY i) AS hex FROM (
-        SELECT doc_id, i, CASE WHEN c = ' ' THEN '0020' WHEN ascii(c) BETWEEN 97 AND 122 THEN lpad(lower(hex(ascii(c) - 96)), 4, '0') END AS hex
-        FROM (SELECT doc_id, unnest(string_split(left(text, 100), '')) AS c, generate_subscripts(string_split(left(text, 100), ''), 1) AS i FROM documents)) GROUP BY doc_id
-""")
-def encode_lookup(spark, sf):
-    codes = spark.createDataFrame([(chr(97 + i), f"{i + 1:04x}") for i in range(26)] + [(" ", "0020")], "c string, h string")
-    chars = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 100), "")).alias("i", "c"))
-    found = chars.join(F.broadcast(codes), "c", "left")
-    joined = rel.ordered_concat(found.where("h is not null"), ["doc_id"], ["i"], "h", "", "hex")
-    return chars.select("doc_id").distinct().join(joined, "doc_id", "left").select("doc_id", "hex")
+    return table(spark, sf, "part").groupBy(F.col("p_name").alias("unicode")).agg(F.min_by("p_partkey", "p_partkey").alias("code"))
 
 
 @query(None)
-def encode_lookup_whole(spark, sf):
+def encode_lookup(spark, sf):
     """Whole texts, row by row; null if no character has a code."""
     hexed = F.regexp_replace("text", "[^a-z ]", "")
     for i in range(26):  # in order: the digits a to f only arise once the letters a to f are gone
@@ -554,24 +520,12 @@ def md5_text(spark, sf):
 # spatial
 
 
-@query("""
-    WITH p AS (SELECT event_id, value AS x, CAST(user_id % 100 AS DOUBLE) AS y FROM events),
-    b AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x0, p_size + 8.0::DOUBLE AS x1, CAST(p_partkey % 100 AS DOUBLE) AS y0, p_partkey % 100 + 6.0::DOUBLE AS y1 FROM part WHERE p_partkey < 200)
-    SELECT p.event_id, min(b.id) AS hit FROM p LEFT JOIN b ON x >= x0 AND x <= x1 AND y >= y0 AND y <= y1 GROUP BY p.event_id
-""")
-def first_hit(spark, sf):
-    points = table(spark, sf, "events").select("event_id", F.col("value").alias("x"), (F.col("user_id") % 100).cast("double").alias("y"))
-    size, row = F.col("p_size").cast("double"), (F.col("p_partkey") % 100).cast("double")
-    boxes = table(spark, sf, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("id"), size.alias("x0"), (size + 8.0).alias("x1"), row.alias("y0"), (row + 6.0).alias("y1"))
-    return spatial.first_hit(points, boxes, "event_id", ["id"], 10.0).select("event_id", "hit")
-
-
 @query("""
     WITH p AS (SELECT event_id, value AS x, CAST(user_id % 100 AS DOUBLE) AS y FROM events),
     b AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x0, p_size + 8.0::DOUBLE AS x1, CAST(p_partkey % 100 AS DOUBLE) AS y0, p_partkey % 100 + 6.0::DOUBLE AS y1 FROM part)
     SELECT p.event_id, min(b.id) AS hit FROM p LEFT JOIN b ON x >= x0 AND x <= x1 AND y >= y0 AND y <= y1 GROUP BY p.event_id
 """)
-def first_hit_whole(spark, sf):
+def first_hit(spark, sf):
     """Every part has its box; boxes of equal bounds are dealt to the grid once, with their least id."""
     points = table(spark, sf, "events").select("event_id", F.col("value").alias("x"), (F.col("user_id") % 100).cast("double").alias("y"))
     size, row = F.col("p_size").cast("double"), (F.col("p_partkey") % 100).cast("double")

@@ -8,18 +8,26 @@ import zlib
 _SPACE = b"\x00\t\n\x0c\r "
 
 
+#: Bytes of one decoded stream at most: more is an error, not a cut.
+LARGEST = 1 << 30
+
+
 class CodecError(ValueError):
     """A buffer that a filter cannot decode."""
 
 
 def flate(data: bytes) -> bytes:
-    """Zlib inflate; corrupt input is an error, a missing end is too."""
+    """Zlib inflate; corrupt input is an error, a missing end is too, and so is more than ``LARGEST`` bytes."""
     if not data:
         return b""
+    unpack = zlib.decompressobj()
     try:
-        return zlib.decompressobj().decompress(data)
+        out = unpack.decompress(data, LARGEST)
     except zlib.error as error:
         raise CodecError(str(error)) from error
+    if not unpack.eof:
+        raise CodecError("more than a stream may hold" if unpack.unconsumed_tail else "the stream has no end")
+    return out
 
 
 def ascii_hex(data: bytes) -> bytes:

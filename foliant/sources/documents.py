@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from foliant.functions.fonts import page_fonts
+from foliant.functions.text import readable_date
 from foliant.operators.content import Font, Interpreter, category, tokenize
-from foliant.sources.objects import Document, FormatError, Ref, Stream, as_json
+from foliant.sources.objects import Document, FormatError, Ref, Stream, Text, as_json
 
-#: Files of one Arrow batch: whole files travel, so few at a time.
-BATCH = "8"
-
-_BAD = (FormatError, ValueError, KeyError, TypeError, IndexError, AttributeError, RecursionError, OverflowError)
+_BAD = (FormatError, ValueError, KeyError, TypeError, IndexError, AttributeError, RecursionError, OverflowError, MemoryError)
 
 
 def files(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFrame:
@@ -27,20 +26,27 @@ def files(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFrame:
     return found.select(F.sha2("path", 256).alias("file_id"), "path", "length", F.col("modificationTime").alias("modified"), "content")
 
 
-def _each(df: DataFrame, read, schema: str) -> DataFrame:  # noqa: ANN001
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+#: Rows of one batch that leaves a worker.
+ROWS = 4096
+
 
+def _each(df: DataFrame, read, schema: str) -> DataFrame:  # noqa: ANN001
+    """Rows of ``read`` by file, as they come; an error on the way is the file's last row, what came before stays."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def rows(file_id: str, content: bytes | None) -> Iterator[dict]:
+        try:
+            for row in read(content or b""):
+                yield {"file_id": file_id} | row
+        except _BAD as error:
+            yield {"file_id": file_id, "error": f"{type(error).__name__}: {error}"}
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for file_id, content in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                try:
-                    rows = read(content or b"")
-                except _BAD as error:
-                    rows = [{"error": f"{type(error).__name__}: {error}"}]
-                if rows:
-                    yield from pa.Table.from_pylist([{"file_id": file_id} | r for r in rows], arrow).to_batches()
+            for k in range(part.num_rows):  # one file at a time: whole files travel
+                found = rows(part.column(0)[k].as_py(), part.column(1)[k].as_py())
+                while some := list(islice(found, ROWS)):
+                    yield from pa.Table.from_pylist(some, arrow).to_batches()
 
     return df.select("file_id", "content").mapInArrow(batches, schema)
 
@@ -99,15 +105,27 @@ def pages(df: DataFrame) -> DataFrame:
     return _each(df, read, "file_id string, page_idx int, obj_num long, width double, height double, content binary, error string")
 
 
+def _by_page(doc: Document, rows) -> Iterator[dict]:  # noqa: ANN001
+    """The rows of each page, with page_idx; a page that cannot be read is one row with an error, and its neighbours stay."""
+    for i, (_, page, held) in enumerate(doc.pages()):
+        try:
+            found = list(rows(page, held))
+        except _BAD as error:
+            found = [{"error": f"{type(error).__name__}: {error}"}]
+        yield from ({"page_idx": i} | r for r in found)
+
+
 def fonts(df: DataFrame) -> DataFrame:
     """Fonts by page and resource name."""
 
-    def read(data: bytes) -> list[dict]:
+    def read(data: bytes) -> Iterator[dict]:
         doc = Document.of(data)
-        return [
-            {"page_idx": i, "font_name": f.name, "base_font": f.base_font, "subtype": f.subtype, "encoding": f.encoding_name, "is_embedded": f.is_embedded, "is_cid": f.is_cid, "has_tounicode": f.to_unicode is not None, "default_width": f.default_width}
-            for i, (_, _, held) in enumerate(doc.pages()) for f in page_fonts(doc, held.get("Resources")).values()
-        ]
+
+        def rows(page: dict, held: dict) -> Iterator[dict]:
+            for f in page_fonts(doc, held.get("Resources")).values():
+                yield {"font_name": f.name, "base_font": f.base_font, "subtype": f.subtype, "encoding": f.encoding_name, "is_embedded": f.is_embedded, "is_cid": f.is_cid, "has_tounicode": f.to_unicode is not None, "default_width": f.default_width}
+
+        return _by_page(doc, rows)
 
     return _each(df, read, "file_id string, page_idx int, font_name string, base_font string, subtype string, encoding string, is_embedded boolean, is_cid boolean, has_tounicode boolean, default_width double, error string")
 
@@ -115,12 +133,14 @@ def fonts(df: DataFrame) -> DataFrame:
 def page_operators(df: DataFrame) -> DataFrame:
     """Content operators in order, with the bytes they came from."""
 
-    def read(data: bytes) -> list[dict]:
-        doc, out = Document.of(data), []
-        for i, (_, page, _) in enumerate(doc.pages()):
+    def read(data: bytes) -> Iterator[dict]:
+        doc = Document.of(data)
+
+        def rows(page: dict, held: dict) -> Iterator[dict]:
             for k, op in enumerate(tokenize(doc.content(page))):
-                out.append({"page_idx": i, "op_idx": k, "name": op.name, "category": category(op.name), "operands": json.dumps(as_json(op.operands)), "raw": op.raw, "byte_offset": op.byte_offset, "inline_data": op.inline_data})
-        return out
+                yield {"op_idx": k, "name": op.name, "category": category(op.name), "operands": json.dumps(as_json(op.operands)), "raw": op.raw, "byte_offset": op.byte_offset, "inline_data": op.inline_data}
+
+        return _by_page(doc, rows)
 
     found = _each(df, read, "file_id string, page_idx int, op_idx int, name string, category string, operands string, raw binary, byte_offset long, inline_data binary, error string")
     return found.withColumn("operands", F.try_parse_json("operands"))
@@ -129,19 +149,84 @@ def page_operators(df: DataFrame) -> DataFrame:
 def glyphs(df: DataFrame) -> DataFrame:
     """Positioned glyphs with their characters: content folded with the page's fonts."""
 
-    def read(data: bytes) -> list[dict]:
-        doc, out = Document.of(data), []
-        for i, (_, page, held) in enumerate(doc.pages()):
+    def read(data: bytes) -> Iterator[dict]:
+        doc = Document.of(data)
+
+        def rows(page: dict, held: dict) -> Iterator[dict]:
             known = page_fonts(doc, held.get("Resources"))
             fold = Interpreter({n: Font(f.widths, f.default_width, f.bytes_per_char) for n, f in known.items()})
             for g in fold.run(tokenize(doc.content(page))):
                 font = known.get(g["font_name"])
-                out.append(g | {"page_idx": i, "char": font.decode(g["char_code"]) if font else chr(g["char_code"])})
-        return out
+                yield g | {"char": font.decode(g["char_code"]) if font else chr(g["char_code"])}
+
+        return _by_page(doc, rows)
 
     return _each(df, read, "file_id string, page_idx int, char_seq int, char_code int, char string, x double, y double, width double, font_size double, font_name string, fill_color array<double>, matrix array<double>, op_idx int, error string")
 
 
+def metadata(df: DataFrame) -> DataFrame:
+    """Document properties: one row per file, field and value of the Info dictionary, dates also in readable form.
+
+    A field that is no text is left out; a file without the dictionary has no rows.
+    """
+
+    def read(data: bytes) -> Iterator[dict]:
+        doc = Document.of(data)
+        info = doc.resolve(doc.trailer.get("Info"))
+        for field, value in (info if isinstance(info, dict) else {}).items():
+            value = doc.resolve(value)
+            if isinstance(value, Text):
+                raw = value.raw
+                yield {"field": str(field), "value": raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("utf-8", "replace")}
+
+    found = _each(df, read, "file_id string, field string, value string, error string")
+    return found.withColumn("date", F.when(F.col("value").rlike(r"^D:[0-9]{14}"), readable_date(F.col("value"))))
+
+
+def revised(df: DataFrame, edits: DataFrame) -> DataFrame:
+    """Files with their edits applied, each one row: file_id, content (the bytes with a new revision), n_edits, error.
+
+    ``edits``: file_id, page_idx, edit_ord, op_indices (array of ints), new_text. As in
+    :func:`foliant.operators.rewrite.apply_edits`, an edit's text goes to its first operator and its others
+    become empty; of edits of one operator the last by edit_ord counts. A file without edits keeps
+    its bytes. A file that cannot be read or has no such page is a row with an error and its old bytes.
+    """
+    from foliant.operators import rewrite
+
+    own = edits.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("page_idx", "edit_ord", "op_indices", "new_text"))).alias("edits"))
+    schema = "file_id string, content binary, n_edits int, error string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def save(data: bytes, found: list[dict]) -> bytes:
+        for page_idx in sorted({e["page_idx"] for e in found}):
+            doc = Document.of(data)
+            _, page, held = doc.pages()[page_idx]
+            operators, known, font, in_force = list(tokenize(doc.content(page))), page_fonts(doc, held.get("Resources")), None, []
+            for op in operators:
+                if op.name == "Tf" and op.operands:
+                    font = known.get(str(op.operands[0]))
+                in_force.append(font)
+            some = [e for e in found if e["page_idx"] == page_idx]
+            if any(not 0 <= k < len(operators) for e in some for k in e["op_indices"]):
+                raise IndexError("an edit of an operator that the page does not have")
+            data = rewrite.save_page(data, page_idx, rewrite.apply_edits(operators, [(e["op_indices"], e["new_text"] or "", in_force[min(e["op_indices"])]) for e in some if e["op_indices"]]))
+        return data
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(part.num_rows):
+                file_id, content, found = (c[k].as_py() for c in part.columns)
+                row = {"file_id": file_id, "content": content, "n_edits": len(found or [])}
+                try:
+                    if found:
+                        row["content"] = save(content or b"", found)
+                except _BAD as error:
+                    row["error"] = f"{type(error).__name__}: {error}"
+                yield from pa.Table.from_pylist([row], arrow).to_batches()
+
+    return df.select("file_id", "content").join(own, "file_id", "left").select("file_id", "content", "edits").mapInArrow(batches, schema)
+
+
 def text_blocks(df: DataFrame, scale: float = 1.0) -> DataFrame:
     """From files to text blocks in reading order."""
     from foliant.operators import layout

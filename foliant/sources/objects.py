@@ -253,11 +253,13 @@ class Document:
             raise FormatError("the cross-reference object is no stream")
         data, info = self.decoded(stream), stream.info
         widths, size = info.get("W"), info.get("Size")
-        if not isinstance(widths, list) or not isinstance(size, int):
+        if not isinstance(widths, list) or not isinstance(size, int) or len(widths) < 3 or not all(isinstance(w, int) and w >= 0 for w in widths) or not sum(widths):
             raise FormatError("a cross-reference stream needs W and Size")
         index, entries, place = info.get("Index") or [0, size], [], 0
         for first, count in zip(index[::2], index[1::2], strict=False):
             for number in range(first, first + count):
+                if place + sum(widths) > len(data):
+                    raise FormatError("the cross-reference stream ends before its entries")
                 fields = []
                 for i, w in enumerate(widths):
                     raw = data[place : place + w]

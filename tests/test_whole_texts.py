@@ -29,7 +29,7 @@ def _utf16(t):
     return "<feff" + t.encode("utf-16-be").hex() + ">"
 
 
-WANT = {"string_width_whole": _width, "encode_lookup_whole": _codes, "hex_encode_whole": lambda t: t.encode().hex(), "hex_decode_whole": lambda t: t, "utf16_hex": _utf16}
+WANT = {"string_width": _width, "encode_lookup": _codes, "hex_encode": lambda t: t.encode().hex(), "hex_decode": lambda t: t, "utf16_hex": _utf16}
 
 
 @pytest.mark.parametrize("name", WANT)
@@ -43,11 +43,11 @@ def test_whole(spark, folder, name):
         assert got[d] == (pytest.approx(want) if isinstance(want, float) else want), (name, d)
 
 
-def test_first_hit_whole(spark, tmp_path):
+def test_first_hit(spark, tmp_path):
     parts = [(5, 10), (150, 30), (250, 20), (1250, 20), (777, 20), (20_050, 30)]
     events = [(i, float(x), u) for i, (x, u) in enumerate([(22, 51), (22, 78), (33, 52), (12, 7), (45, 99), (28, 150), (20, 50)])]
     spark.createDataFrame(parts, "p_partkey long, p_size long").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame(events, "event_id long, value double, user_id long").write.parquet(f"{tmp_path}/events.parquet")
     want = {e: min((k for k, s in parts if s <= x <= s + 8 and k % 100 <= u % 100 <= k % 100 + 6), default=None) for e, x, u in events}
     assert {250, 777, 150, None} <= set(want.values())
-    assert {r.event_id: r.hit for r in QUERIES["first_hit_whole"](spark, str(tmp_path)).collect()} == want
+    assert {r.event_id: r.hit for r in QUERIES["first_hit"](spark, str(tmp_path)).collect()} == want
