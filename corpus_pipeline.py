@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import exact_dedup, near_dedup, packing, quality, secrets
-from foliant.llm.common import scratch_path
+from foliant.llm.common import scratch_path, spread
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each is written and read again, so a lost executor costs one stage at most."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to ``documents``; each is written and read again, so a lost executor costs one stage at most.
+
+    Nulls in any column, empty texts, ties, repeated rows and an empty table are as the stages'
+    operators state: null texts count as empty, of equal or near texts one row stays, an empty
+    table gives no rows. The stages' folders stay in the shared folder, for a restart or a look.
+    """
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
