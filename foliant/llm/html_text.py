@@ -248,18 +248,25 @@ def _covered(length: np.ndarray, a: int, b: int, run: int) -> list[tuple[int, in
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _windows_of(text: str, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit names, the same everywhere, of each ``run`` words in a row, or of all words of a shorter text."""
-    tokens, names, _ = _laid_out([text])
-    words = names[tokens[:-1]]
-    size = min(run, len(words))
-    out = []
-    for f in _FACTORS:
-        power = np.cumprod(np.full(max(1, size), f, np.uint64))
-        z = sum(words[i : len(words) - size + 1 + i] * power[i] for i in range(size)) + np.uint64(len(words) if size < run else 0)
-        z = (z ^ (z >> np.uint64(31))) * np.uint64(f)
-        out.append((z ^ (z >> np.uint64(29))).view(np.int64))
-    return out[0], out[1]
+def _windows_of(texts: list[str], run: int) -> pd.DataFrame:
+    """text, place, size, and a and b: two 64-bit names, the same everywhere, of each ``run`` words in a row, or of all words of a shorter text."""
+    tokens, names, places = _laid_out(texts)
+    starts, lengths = np.array([p[0] for p in places], np.int64), np.array([q - p for p, q in places], np.int64)
+    parts = []
+    for size in np.unique(np.minimum(lengths, run)).tolist():
+        some = np.flatnonzero(lengths == size if size < run else lengths >= run)
+        each = lengths[some] - size + 1 if size else np.zeros(len(some), np.int64)
+        text = np.repeat(some, each)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
+        words = [names[tokens[starts[text] + place + i]] for i in range(size)]
+        frame = {"text": text, "place": place, "size": size}
+        for name, f in zip("ab", _FACTORS, strict=True):
+            power = np.cumprod(np.full(max(1, size), f, np.uint64))
+            z = sum((w * p for w, p in zip(words, power, strict=False)), np.full(len(text), size if size < run else 0, np.uint64))
+            z = (z ^ (z >> np.uint64(31))) * np.uint64(f)
+            frame[name] = (z ^ (z >> np.uint64(29))).view(np.int64)
+        parts.append(pd.DataFrame(frame))
+    return pd.concat(parts) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("text", "place", "size", "a", "b")})
 
 
 _NO_ID = -(1 << 63)
@@ -300,7 +307,7 @@ def open_blocks(rest: DataFrame, run: int = RUN, pages_per_array: int = PAGES) -
     host has more than one article, so that something could repeat.
     """
     sizes = rest.groupBy("host").agg(F.ceil(F.count("*") / F.lit(pages_per_array)).alias("arrays"), (F.min("owner") < F.max("owner")).alias("many"))
-    dealt = rest.join(sizes, "host").withColumn("array", F.pmod(F.xxhash64("page", "h"), F.col("arrays")))
+    dealt = rest.join(sizes, "host").withColumn("array", F.pmod(F.xxhash64("page", "h"), F.col("arrays"))).repartition("host", "array")  # by host alone, a hot one would be one task
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["page", "h"])
@@ -318,14 +325,10 @@ def open_blocks(rest: DataFrame, run: int = RUN, pages_per_array: int = PAGES) -
         return pd.DataFrame(rows, columns=["page", "h", "host", "owner", "at", "place", "named", "text", "words", "many", "covered"])
 
     def windows(group: pd.DataFrame) -> pd.DataFrame:
-        frames = []
-        for owner, found in zip(group["owner"].tolist(), group["rest"], strict=True):
-            for x in found:
-                a, b = _windows_of(x["text"], run)
-                frames.append(pd.DataFrame({"a": a, "b": b, "low": owner, "high": owner}))
-        if not frames:
-            return pd.DataFrame({"host": pd.Series(dtype=str), **{c: pd.Series(dtype="int64") for c in ("a", "b", "low", "high")}})
-        merged = pd.concat(frames).groupby(["a", "b"], as_index=False).agg({"low": "min", "high": "max"})
+        owners = np.repeat(group["owner"].to_numpy(), [len(x) for x in group["rest"]])
+        found = _windows_of([x["text"] for found in group["rest"] for x in found], run)
+        found = found.assign(low=owners[found["text"].to_numpy()])
+        merged = found.groupby(["a", "b"], as_index=False).agg(low=("low", "min"), high=("low", "max"))
         merged.insert(0, "host", group["host"].iloc[0])
         return merged
 
@@ -336,10 +339,10 @@ def open_blocks(rest: DataFrame, run: int = RUN, pages_per_array: int = PAGES) -
         return found
 
     def each_window(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for page, h, host, at, text in zip(*(batch[c].tolist() for c in ("page", "h", "host", "at", "text")), strict=True):
-                a, b = _windows_of(text, run)
-                yield pd.DataFrame({"page": page, "h": h, "host": [host] * len(a), "at": at, "a": a, "b": b, "place": np.arange(len(a)), "size": min(run, len(text.split()))})
+        for batch in in_parts(batches):
+            found = _windows_of(batch["text"].tolist(), run)
+            rows = batch[["page", "h", "host", "at"]].iloc[found["text"].to_numpy()].reset_index(drop=True)
+            yield rows.assign(**{c: found[c].to_numpy() for c in ("a", "b", "place", "size")})
 
     spread = found.join(sizes.where("arrays > 1").select("host"), "host", "left_semi").select("page", "h", "host", "at", "text").mapInPandas(each_window, "page long, h long, host string, at int, a long, b long, place int, size int")
     more = spread.join(common, ["host", "a", "b"]).groupBy("page", "h", "at").agg(F.collect_list(F.struct(F.col("place").alias("a"), (F.col("place") + F.col("size")).alias("b"))).alias("more"))

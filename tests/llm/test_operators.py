@@ -56,9 +56,9 @@ def texts(docs):
     return {r.doc_id: r.text or "" for r in docs.collect()}
 
 
-def tokenizer(path):
+def tokenizer(path, plain_specials=False):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain_specials
     return t
 
 
@@ -78,7 +78,7 @@ def test_elias_fano():
 
 @pytest.mark.parametrize(("path", "spaced"), [(WORD, False), (BYTE, True)])
 def test_word_ids(path, spaced, texts):
-    t, fast = Tokenizer.from_file(path), pieces.WordIds(path, spaced)
+    t, fast = tokenizer(path), pieces.WordIds(path, spaced)
     all_texts = [*texts.values(), *[x or "" for _, x in ODD if x is not LONG], "a\n\nb", "don't 's x\ty", "it's. ok' 's", "ΣΑΣ. Σ", "é É", "A b c\n d", "İstanbul, ı.", "<|endoftext|> x"]
     random.seed(5)
     all_texts += ["".join(random.choice("ab é\n\t .,'sΣ1$\x1f") for _ in range(random.randint(0, 30))) for _ in range(500)]
@@ -103,9 +103,9 @@ def test_special_tokens():
     """In a text they are what the library makes of them; as ordinary text only by the parameter."""
     some = ["<|endoftext|> x", "a <|ENDOFTEXT|>x", "a<|endoftext|>b plain <b", "x <|startoftext|> y", "<|endof text|> < <|", "plain"]
     for path, spaced in ((WORD, False), (BYTE, True)):
-        library = Tokenizer.from_file(path)
+        library = tokenizer(path)
         assert pieces.WordIds(path, spaced).encode(some) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in some]
-        assert pieces.WordIds(path, spaced, plain_specials=True).encode(some) == [np.array(tokenizer(path).encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in some]
+        assert pieces.WordIds(path, spaced, plain_specials=True).encode(some) == [np.array(tokenizer(path, True).encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in some]
 
 
 def test_hot_ids_fill_several_ranges(spark):

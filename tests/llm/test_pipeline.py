@@ -30,7 +30,6 @@ def test_pipeline(spark):
                         parent[k] = min(a, b)
     kept = {d for d, p in parent.items() if d == p}
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     lengths = {d: len(t.encode(secrets.mask(texts[d]), add_special_tokens=False).ids) + 1 for d in kept}
     got: dict[int, int] = {}
     rows = corpus_pipeline.run(spark, DATA).collect()
