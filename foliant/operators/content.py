@@ -142,7 +142,7 @@ class Interpreter:
     """Folds operators into glyphs. One handler an operator; all others leave the state as it is."""
 
     def __init__(self, fonts: dict[str, Font]) -> None:
-        self.fonts, self.state, self.stack, self.glyphs = fonts, State(), [], []
+        self.fonts, self.state, self.stack, self.glyphs, self.placed = fonts, State(), [], [], []
 
     def run(self, operators: Iterable[Operator]) -> list[dict[str, Any]]:
         for i, op in enumerate(operators):
@@ -211,6 +211,11 @@ def _double_quote(t: Interpreter, v: list, i: int) -> None:
     t.show(_last(v) if len(v) > 2 else None, i)
 
 
+def _place(t: Interpreter, v: list, i: int) -> None:
+    if isinstance(_last(v), Name):
+        t.placed.append({"op_idx": i, "name": str(_last(v)), "matrix": list(t.state.ctm)})
+
+
 def _restore(t: Interpreter, v: list, i: int) -> None:
     if t.stack:
         t.state = t.stack.pop()
@@ -243,6 +248,7 @@ _HANDLERS: dict[str, Callable[[Interpreter, list, int], None]] = {
     '"': _double_quote,
     "q": lambda t, v, i: t.stack.append(t.state),
     "Q": _restore,
+    "Do": _place,
     "cm": lambda t, v, i: t.put(ctm=times(_numbers(v, 6), t.state.ctm)),
     "w": _set("line_width"),
     "rg": _color("fill", 3, tuple),

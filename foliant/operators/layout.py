@@ -74,6 +74,12 @@ def text_blocks(rows: DataFrame) -> DataFrame:
     color, n_chars. The first char gives font and colour. Blocks without visible text are
     dropped; numbers follow block order, then first appearance.
     """
+    return _numbered(rows).select(
+        *PAGE, "block_idx", F.concat(F.lit("tb_"), F.col("block_idx").cast("string")).alias("id"), "op_idx", "text", "x0", "x1", "y0", "y1", "font_name", "font_size", F.col("fill_color").alias("color"), "n_chars"
+    )
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
     chars = F.array_sort(F.collect_list(F.struct("seq", "char")))
     first = lambda c: F.min_by(c, "seq").alias(c)
     found = rows.groupBy(*PAGE, "block", "op_idx").agg(
@@ -82,9 +88,15 @@ def text_blocks(rows: DataFrame) -> DataFrame:
     )
     found = found.where(~is_blank(F.col("text")))
     at = F.row_number().over(Window.partitionBy(*PAGE).orderBy("block", "first")) - 1
-    return found.withColumn("block_idx", at.cast("int")).select(
-        *PAGE, "block_idx", F.concat(F.lit("tb_"), at.cast("string")).alias("id"), "op_idx", "text", "x0", "x1", "y0", "y1", "font_name", "font_size", F.col("fill_color").alias("color"), "n_chars"
-    )
+    return found.withColumn("block_idx", at.cast("int"))
+
+
+def block_chars(rows: DataFrame) -> DataFrame:
+    """The chars of each block of :func:`text_blocks`, numbered in it from 0 (seq); chars of dropped blocks are left out."""
+    numbers = _numbered(rows).select(*PAGE, "block", "op_idx", "block_idx")
+    place = F.row_number().over(Window.partitionBy(*PAGE, "block_idx").orderBy("__seq")).cast("bigint") - 1
+    found = rows.withColumnRenamed("seq", "__seq").join(numbers, [*PAGE, "block", "op_idx"]).withColumn("seq", place)
+    return found.select(*PAGE, "block_idx", "seq", "char", "x", "y", "width", "font_size", "font_name", "fill_color", "op_idx")
 
 
 def words(rows: DataFrame) -> DataFrame:

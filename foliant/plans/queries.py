@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
-from foliant.operators import layout, relational as rel, spatial
+from foliant.operators import blocks, layout, relational as rel, spatial
 from foliant.operators.content import CATEGORIES, running_total
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -564,3 +564,37 @@ def toggle_parity(spark, sf):
 @query("SELECT user_id, coalesce(arg_min(event_type, (ts, event_id)) FILTER (WHERE value > 60), arg_min(event_type, (ts, event_id)), 'F1') AS font FROM events GROUP BY user_id")
 def first_preferred(spark, sf):
     return rel.first_preferred(table(spark, sf, "events"), _KEYS, F.col("value") > 60, "event_type", _ORDER, F.lit("F1"), "font")
+
+
+# editing blocks
+
+
+@query("""
+    WITH b AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS x, min(l_suppkey) % 5 * 10.0::DOUBLE AS y, min(l_returnflag) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY y DESC, x DESC, l_linenumber DESC) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM b)
+    SELECT l_orderkey, string_agg(c, ' ' ORDER BY y, x, l_linenumber) AS text, min(x) AS x0, max(CASE WHEN r = 1 THEN x + 5 ELSE x + 8 END) AS x1, min(y) - 8.5 AS y0, max(y) + 1.5 AS y1 FROM o WHERE n > 1 GROUP BY l_orderkey
+""")
+def block_merge(spark, sf):
+    """The lines of each order as blocks of one char; a space of 3 follows each but the last."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("x"), (F.min("l_suppkey") % 5 * 10.0).alias("y"), F.min("l_returnflag").alias("char"))
+    keyed = lines.select(F.col("l_orderkey").alias("file_id"), F.lit(0).alias("page_idx"), F.col("l_linenumber").alias("block_idx"), "x", "y", "char")
+    chars = keyed.select("*", F.lit(0).alias("seq"), F.lit(5.0).alias("width"), F.lit(10.0).alias("font_size"), F.lit("F1").alias("font_name"), F.array(F.lit(0.0)).alias("fill_color"), F.col("block_idx").alias("op_idx"))
+    boxes = keyed.select("file_id", "page_idx", "block_idx", F.col("x").alias("x0"), (F.col("y") - 8.5).alias("y0"))
+    selected = keyed.select("file_id", "page_idx", F.lit(0).alias("merge_id"), "block_idx", F.col("block_idx").alias("place"))
+    return blocks.merged_blocks(boxes, chars, selected).select(F.col("file_id").alias("l_orderkey"), "text", "x0", "x1", "y0", "y1")
+
+
+@query("""
+    WITH c AS (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS seq, length(n_name) AS width FROM nation),
+    p AS (SELECT s_suppkey, s_nationkey % 5 AS n_regionkey, abs(s_acctbal) % 60 AS x, s_suppkey % 40 AS y FROM supplier),
+    d AS (SELECT s_suppkey, x, seq, seq * 10 + width / 2.0::DOUBLE AS cx, sqrt((x - (seq * 10 + width / 2.0::DOUBLE)) * (x - (seq * 10 + width / 2.0::DOUBLE)) + (y - (seq * 3 + 5.0::DOUBLE)) * (y - (seq * 3 + 5.0::DOUBLE))) AS away FROM p JOIN c USING (n_regionkey)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY away, seq) AS r FROM d)
+    SELECT s_suppkey, CAST(coalesce(seq + CASE WHEN f.x > cx THEN 1 ELSE 0 END, 0) AS BIGINT) AS cursor FROM p LEFT JOIN (SELECT * FROM f WHERE r = 1) f USING (s_suppkey)
+""")
+def cursor_place(spark, sf):
+    """Nations as the chars of their region's block, suppliers as clicks into it."""
+    order = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    chars = table(spark, sf, "nation").select("n_regionkey", (F.row_number().over(order) - 1).cast("bigint").alias("seq"), F.length("n_name").cast("double").alias("width"))
+    chars = chars.select("*", (F.col("seq") * 10.0).alias("x"), (F.col("seq") * 3.0).alias("y"), F.lit(10.0).alias("font_size"))
+    clicks = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("n_regionkey"), (F.abs("s_acctbal") % 60).alias("x"), (F.col("s_suppkey") % 40).cast("double").alias("y"))
+    return blocks.cursors(clicks, chars, "s_suppkey", ["n_regionkey"]).select("s_suppkey", "cursor")

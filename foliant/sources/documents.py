@@ -15,7 +15,8 @@ from pyspark.sql.types import StructType
 from foliant.functions.fonts import page_fonts
 from foliant.functions.text import readable_date
 from foliant.operators.content import Font, Interpreter, category, tokenize
-from foliant.sources.objects import Document, FormatError, Ref, Stream, Text, as_json
+from foliant.operators.spatial import flipped, unit_square_box
+from foliant.sources.objects import Document, FormatError, Ref, Stream, Text, as_json, number
 
 _BAD = (FormatError, ValueError, KeyError, TypeError, IndexError, AttributeError, RecursionError, OverflowError, MemoryError)
 
@@ -164,6 +165,38 @@ def glyphs(df: DataFrame) -> DataFrame:
     return _each(df, read, "file_id string, page_idx int, char_seq int, char_code int, char string, x double, y double, width double, font_size double, font_name string, fill_color array<double>, matrix array<double>, op_idx int, error string")
 
 
+def images(df: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Images that pages place by name: file_id, page_idx, image_idx, id, name, op_idx, matrix, pixel_width, pixel_height, x0, x1, y0, y1, error.
+
+    The box is that of the unit square under the matrix, from the top left, at a scale. Names that
+    are no image of the page's resources (forms, unknown ones) and images inside the content are left
+    out; an image placed twice is two rows. A page that cannot be read is a row with an error.
+    """
+
+    def read(data: bytes) -> Iterator[dict]:
+        doc = Document.of(data)
+
+        def rows(page: dict, held: dict) -> Iterator[dict]:
+            resources = doc.resolve(held.get("Resources"))
+            known = doc.resolve(resources.get("XObject")) if isinstance(resources, dict) else None
+            fold, place = Interpreter({}), 0
+            fold.run(tokenize(doc.content(page)))
+            for at in fold.placed:
+                found = doc.resolve(known.get(at["name"])) if isinstance(known, dict) else None
+                if isinstance(found, Stream) and doc.resolve(found.info.get("Subtype")) == "Image":
+                    pixels = (number(doc.resolved(found.info), side) for side in ("Width", "Height"))
+                    yield at | {"image_idx": place, "page_height": doc.box(held)[1]} | dict(zip(("pixel_width", "pixel_height"), pixels, strict=True))
+                    place += 1
+
+        return _by_page(doc, rows)
+
+    found = _each(df, read, "file_id string, page_idx int, image_idx int, name string, op_idx int, matrix array<double>, pixel_width double, pixel_height double, page_height double, error string")
+    left, low, right, high = unit_square_box([F.col("matrix")[i] for i in range(6)])
+    (x0, y1), (x1, y0) = (flipped(x, y, F.col("page_height"), F.lit(scale)) for x, y in ((left, low), (right, high)))
+    box = [c.alias(n) for n, c in (("x0", x0), ("x1", x1), ("y0", y0), ("y1", y1))]
+    return found.select("file_id", "page_idx", "image_idx", F.concat(F.lit("ib_"), F.col("image_idx").cast("string")).alias("id"), "name", "op_idx", "matrix", "pixel_width", "pixel_height", *box, "error")
+
+
 def metadata(df: DataFrame) -> DataFrame:
     """Document properties: one row per file, field and value of the Info dictionary, dates also in readable form.
 

@@ -327,6 +327,10 @@ class Document:
                 self._objects[value.num] = self._member(entry) if entry.stream_obj_num is not None else self._at(entry)
         return self.resolve(self._objects[value.num], depth + 1)
 
+    def resolved(self, values: dict[str, Any]) -> dict[str, Any]:
+        """A dictionary with what its values lead to."""
+        return {k: self.resolve(v) for k, v in values.items()}
+
     @property
     def _entries(self) -> dict[int, Entry]:
         known = self.__dict__.get("_xref_cache")
@@ -402,6 +406,34 @@ class Document:
         return 612.0, 792.0
 
 
+def _typed(values: dict[str, Any], key: str, kinds: tuple[type, ...], what: str) -> Any:
+    if key not in values:
+        return None
+    value = values[key]
+    if not isinstance(value, kinds) or isinstance(value, bool):
+        raise FormatError(f"/{key} is no {what}")
+    return value
+
+
+# a dictionary's value by type: None if the key is absent, an error if the value (null too) is of another type
+
+
+def number(values: dict[str, Any], key: str) -> int | float | None:
+    return _typed(values, key, (int, float), "number")
+
+
+def reference(values: dict[str, Any], key: str) -> Ref | None:
+    return _typed(values, key, (Ref,), "reference")
+
+
+def array(values: dict[str, Any], key: str) -> list[Any] | None:
+    return _typed(values, key, (list,), "array")
+
+
+def name(values: dict[str, Any], key: str) -> Name | None:
+    return _typed(values, key, (Name,), "name")
+
+
 def as_json(value: Any) -> Any:
     """The value in JSON types; references, names and strings are told apart by a key."""
     if isinstance(value, Ref):
