@@ -2,8 +2,8 @@
 
 BPE never merges across a pre-token, and both pre-tokenizers used here always cut between
 a word and a following single space or line end. So a text's ids are its words' ids in a row.
-Words go to the library in batches, each distinct one about once; texts with any other white
-space go to the library whole.
+A text's words are looked up once; those not known yet are noted on the way, go to the library
+in batches and are put in afterwards. Texts with any other white space go to the library whole.
 """
 
 from __future__ import annotations
@@ -11,21 +11,28 @@ from __future__ import annotations
 import os
 import sys
 from array import array
-from itertools import filterfalse, islice
+from itertools import islice
 from unicodedata import is_normalized
 
 import numpy as np
 
-#: Entries of a worker's two caches; the cache is emptied when full, which costs time only.
-CHUNKS, STEMS = 900_000, 600_000
-
-#: The ASCII punctuation that may end a word and stays a pre-token of its own.
-TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Entries of a worker's cache; it is emptied when full, which costs time only. Words that go to the library at once.
+CHUNKS, AT_ONCE = 1_400_000, 512
 
 #: Python takes these for white space, the library does not.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+class Noted(dict):
+    """Ids by word. A word that is not there is noted and stands as None."""
+
+    def __init__(self) -> None:
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.missed.append(word)
+
+
 class WordIds:
     """Ids of whole texts as little-endian numbers of ``width`` bytes.
 
@@ -47,9 +54,8 @@ class WordIds:
         self.marks |= {m.upper() for m in self.marks}
         self.spaced = spaced
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.first: dict[str, bytes] = {}  # words as they stand
-        self.later: dict[str, bytes] = {}  # words behind a space, if that is part of a token
-        self.stems: dict[str, bytes] = {}
+        self.first = Noted()  # words as they stand
+        self.later = Noted()  # words behind a space, if that is part of a token
 
     def pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, dtype=f"<u{self.width}").tobytes()
@@ -60,24 +66,26 @@ class WordIds:
         out = [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return out if sys.byteorder == "little" else [np.frombuffer(x, f">u{self.width}").astype(f"<u{self.width}").tobytes() for x in out]
 
-    def learn(self, missing: set[str], lead: str, known: dict[str, bytes]) -> None:
-        """Puts the ids of the words, behind ``lead``, in ``known``; the part before closing punctuation is learned once."""
-        if len(self.stems) > STEMS:
-            self.stems.clear()
-        stems, cut, need = self.stems, [], set()
-        for word in missing:
-            stem = word.rstrip(TAIL)
-            if stem == word or not stem.isalpha():
-                cut.append((word, lead + word, ""))
-            else:
-                cut.append((word, lead + stem, word[len(stem) :]))
-        need.update(stem for _, stem, _ in cut)
-        need.update(tail for _, _, tail in cut)
-        need.discard("")
-        new = list(filterfalse(stems.__contains__, need))
-        if new:
-            stems.update(zip(new, self.whole(new), strict=True))
-        known.update([(word, stems[stem] + stems[tail] if tail else stems[stem]) for word, stem, tail in cut])
+    def learn(self, words: set[str], lead: str, known: Noted) -> None:
+        """Puts the ids of the words, behind ``lead``, in ``known``."""
+        rest = iter(words)
+        while some := list(islice(rest, AT_ONCE)):
+            known.update(zip(some, self.whole([lead + word for word in some]), strict=True))
+
+    def fill(self, flat: list[bytes | None], known: Noted, lead: str) -> None:
+        """Learns the words that ``known`` noted, and puts their ids in place of each None, in order."""
+        self.learn(set(known.missed), lead, known)
+        at = -1
+        for word in known.missed:
+            at = flat.index(None, at + 1)
+            flat[at] = known[word]
+        known.missed.clear()
+
+    def room(self) -> None:
+        """Empties the cache if it is full."""
+        if len(self.first) + len(self.later) > CHUNKS:
+            self.first.clear()
+            self.later.clear()
 
     def special(self, text: str) -> bool:
         """Whether a special token's string may be in the text, whatever the case of its letters."""
@@ -112,52 +120,54 @@ class WordIds:
         return self._encode_lines(texts) if self.spaced else self._encode_plain(texts)
 
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
-        parts = [self.plain(t) for t in texts]
-        for_first: set[str] = set()
-        if len(self.first) > CHUNKS:
-            self.first.clear()
-        for p in parts:
-            if p:
-                for_first.update(filterfalse(self.first.__contains__, p))
-        if for_first:
-            self.learn(for_first, "", self.first)
-        rest = iter(self.whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        get = self.first.__getitem__
-        return [next(rest) if p is None else b"".join(map(get, p)) for p in parts]
+        self.room()
+        flat: list[bytes | None] = []
+        ends, alone, get = [], [], self.first.__getitem__
+        for k, text in enumerate(texts):
+            words = self.plain(text)
+            if words is None:
+                alone.append(k)
+            else:
+                flat.extend(map(get, words))
+            ends.append(len(flat))
+        self.fill(flat, self.first, "")
+        return self._joined(flat, ends, alone, texts)
 
     def _encode_lines(self, texts: list[str]) -> list[bytes]:
-        parts = [self.lines(t) if t else [] for t in texts]
-        for known in (self.first, self.later):
-            if len(known) > CHUNKS:
-                known.clear()
-        for_first: set[str] = {"\n"}
-        for_later: set[str] = set()
-        for p in parts:
-            for line in p or ():
-                for_first.add(line[0])
-                if len(line) > 1:
-                    for_later.update(filterfalse(self.later.__contains__, islice(line, 1, None)))
-        for_first = set(filterfalse(self.first.__contains__, for_first)) - {""}
-        self.first[""] = b""
-        if for_first:
-            self.learn(for_first, "", self.first)
-        if for_later:
-            self.learn(for_later, " ", self.later)
-        rest = iter(self.whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        first, get, out = self.first, self.later.__getitem__, []
-        self.first[""] = b""
-        new_line = first["\n"]
-        for p in parts:
-            if p is None:
-                out.append(next(rest))
-                continue
-            row: list[bytes] = []
-            for line in p:
-                row.append(new_line)
-                row.append(first[line[0]])
+        self.room()
+        if "\n" not in self.first:
+            self.first[""] = b""
+            self.learn({"\n"}, "", self.first)
+        new_line, first, get = self.first["\n"], self.first, self.later.__getitem__
+        flat: list[bytes | str | None] = []
+        ends, alone, spots = [], [], []
+        for k, text in enumerate(texts):
+            lines = self.lines(text) if text else []
+            if lines is None:
+                alone.append(k)
+            for i, line in enumerate(lines or ()):
+                if i:
+                    flat.append(new_line)
+                ids = first[line[0]]
+                if ids is None:
+                    spots.append(len(flat))
+                    ids = line[0]  # until it is known, so that the others stay the only None
+                flat.append(ids)
                 if len(line) > 1:
-                    row.extend(map(get, islice(line, 1, None)))
-            out.append(b"".join(row[1:]))
+                    flat.extend(map(get, islice(line, 1, None)))
+            ends.append(len(flat))
+        self.learn(set(first.missed), "", first)
+        first.missed.clear()
+        for spot in spots:
+            flat[spot] = first[flat[spot]]
+        self.fill(flat, self.later, " ")
+        return self._joined(flat, ends, alone, texts)
+
+    def _joined(self, flat: list[bytes], ends: list[int], alone: list[int], texts: list[str]) -> list[bytes]:
+        """Each text's ids: its run of ``flat``, or by the library if it stands alone."""
+        out = [b"".join(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        for k, ids in zip(alone, self.whole([texts[k] for k in alone]), strict=True):
+            out[k] = ids
         return out
 
 

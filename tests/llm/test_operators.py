@@ -742,3 +742,15 @@ def test_scan_documents(docs, texts, odd, none):
     assert secrets.scan_documents(none).collect() == []
     masked = secrets.mask_documents(odd)
     assert masked.schema == odd.schema and "token" not in "".join(r.text or "" for r in masked.collect()) and masked.where("text is null").count() == 1
+
+
+@pytest.mark.parametrize(("vocabulary", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_are_noted_and_put_in(vocabulary, spaced, monkeypatch):
+    bits = ["a", "the", "The", "don't", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\u03a3", "\u03c2", "\u0130", "_", "!", "\u65e5", "e\u0301", "\x1c", "<|endoftext|>", "x" * 50, ""]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(3000)] + ["", " ", "\n", "a\n", "\na", "\u03a3\u0130_"]
+    for chunks in (pieces.CHUNKS, 40):  # a cache that is emptied between calls, too
+        monkeypatch.setattr(pieces, "CHUNKS", chunks)
+        encoder = pieces.WordIds(public_tokenizers.path(vocabulary), spaced)
+        got = [ids for k in range(0, len(texts), 100) for ids in encoder.encode(texts[k : k + 100])]
+        assert got == encoder.whole(texts) and encoder.encode([]) == []
