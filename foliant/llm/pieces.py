@@ -17,7 +17,7 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: Entries of a worker's cache; it is emptied when full, which costs time only. Words that go to the library at once.
-CHUNKS, AT_ONCE = 1_400_000, 512
+CHUNKS, AT_ONCE = 1_000_000, 512
 
 #: Python takes these for white space, the library does not.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
