@@ -4,11 +4,15 @@ BPE never merges across a pre-token, and both pre-tokenizers used here always cu
 a word and a following single space or line end. So a text's ids are its words' ids in a row.
 A text's words are looked up once; those not known yet are noted on the way, go to the library
 in batches and are put in afterwards. Texts with any other white space go to the library whole.
+Of a vocabulary that drops white space, an unknown word is cut into its pre-tokens here, and only
+pre-tokens not known yet go to the vocabulary's BPE, many in one call.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 from array import array
 from itertools import islice
@@ -22,6 +26,17 @@ CHUNKS, AT_ONCE = 1_000_000, 512
 #: Python takes these for white space, the library does not.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
+#: Letters that the library leaves as they stand, old enough to be letters in any release of Unicode; marks but the apostrophe, which begins pre-tokens with letters.
+LETTERS = "".join(c for c in map(chr, range(ord("a"), 0x530)) if c.isalpha() and c == c.lower() and is_normalized("NFC", c))
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+
+#: Words that PIECE cuts as CUTS does; of these, one of letters alone is a single pre-token.
+SAFE, PIECE = re.compile(f"[{LETTERS}0-9{re.escape(MARKS)}]*"), re.compile(f"[{LETTERS}]+|[0-9]|[{re.escape(MARKS)}]+")
+
+#: The normalizer and pre-tokenizer for which that holds.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
 
 class Noted(dict):
     """Ids by word. A word that is not there is noted and stands as None."""
@@ -56,6 +71,24 @@ class WordIds:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.first = Noted()  # words as they stand
         self.later = Noted()  # words behind a space, if that is part of a token
+        self.bare = None if spaced else self._bare()  # for words already cut into pre-tokens
+
+    def _bare(self):  # noqa: ANN202
+        """The vocabulary's BPE over what spaces part, if PIECE cuts words as the vocabulary does and its tokens tell where a pre-token ends; else None."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        normalizer, cuts = ({} if part is None else json.loads(part.__getstate__()) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        levels = cuts.get("pretokenizers", [])
+        if normalizer != NORMALIZER or not suffix or len(levels) != 2 or levels[0] != CUTS or levels[1] | {"trim_offsets": True} != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}:
+            return None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)  # whether a token ends its pre-token
+        self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        bare = Tokenizer(self.tokenizer.model)
+        bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        return bare
 
     def pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, dtype=f"<u{self.width}").tobytes()
@@ -66,9 +99,34 @@ class WordIds:
         out = [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return out if sys.byteorder == "little" else [np.frombuffer(x, f">u{self.width}").astype(f"<u{self.width}").tobytes() for x in out]
 
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Of pre-tokens, in one call; by the library as they stand if the vocabulary lacks an end for some."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
+        if len(ends) != len(pieces):
+            return self.whole(pieces)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def cut(self, words: set[str], known: Noted) -> list[str]:
+        """Puts the ids of the words that PIECE can cut in ``known``, and those of their pre-tokens; returns the others."""
+        others = [] if SAFE.fullmatch("".join(words)) else [word for word in words if not SAFE.fullmatch(word)]
+        words = words.difference(others)
+        new = set(filter(str.isalpha, words))
+        several = {}
+        for word in words - new:
+            head = word.rstrip(MARKS)
+            several[word] = (head, word[len(head) :]) if head.isalpha() else PIECE.findall(word)
+        new.update([piece for found in several.values() for piece in found if piece not in known])
+        rest = iter(new)
+        while some := list(islice(rest, AT_ONCE)):
+            known.update(zip(some, self.pieces(some), strict=True))
+        known.update((word, b"".join([known[piece] for piece in found])) for word, found in several.items())
+        return others
+
     def learn(self, words: set[str], lead: str, known: Noted) -> None:
         """Puts the ids of the words, behind ``lead``, in ``known``."""
-        rest = iter(words)
+        rest = iter(words if self.bare is None else self.cut(words, known))
         while some := list(islice(rest, AT_ONCE)):
             known.update(zip(some, self.whole([lead + word for word in some]), strict=True))
 

@@ -754,3 +754,48 @@ def test_words_are_noted_and_put_in(vocabulary, spaced, monkeypatch):
         encoder = pieces.WordIds(public_tokenizers.path(vocabulary), spaced)
         got = [ids for k in range(0, len(texts), 100) for ids in encoder.encode(texts[k : k + 100])]
         assert got == encoder.whole(texts) and encoder.encode([]) == []
+
+
+def test_word_ids_by_pre_tokens(monkeypatch):
+    """Unknown words of letters, digits and marks need the BPE alone, and that only for pre-tokens not known yet."""
+    rng, t = random.Random(7), tokenizer(WORD)
+    letters, odd = pieces.LETTERS, "'\u00b2\u00bd\u0e01\u3042\u0301\u0345\u0660\u2167\ufb01\x01\x7f\u00ad\u1e9e\u00d7\U0001f600\u1100\u1161"
+    words = [*letters, *pieces.MARKS, *map(str, range(10)), letters, letters[::-1], pieces.MARKS, "0123", "don't", "'s.", "x's-y", "e\u0301a.", "A.b", "\u03a3x,"]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ".", ",)", "-ab", "7", "!?", "_x"]) for _ in range(2000)]
+    words += ["".join(rng.choice(rng.choice([letters, pieces.MARKS, "0123456789", odd])) for _ in range(rng.randint(1, 8))) for _ in range(2000)]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, len(words), 40)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in t.encode_batch([*texts, *words], add_special_tokens=False)]
+    fast = pieces.WordIds(WORD, False)
+    assert fast.encode(texts) + fast.encode(words) == want
+    asked: list[str] = []
+    for name in ("whole", "pieces"):
+        monkeypatch.setattr(fast, name, lambda some, f=getattr(fast, name), name=name: asked.extend((name, x) for x in some) or f(some))
+    fast.first.clear()
+    some = ["qvanzor, qvanzor. (qvanzor) \u00e9qvan-qvanzor", "qvanzor; \u00e9qvan"]
+    assert fast.encode(some) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in some]
+    assert Counter(asked) == Counter(("pieces", x) for x in ("qvanzor", ",", ".", "(", ")", "\u00e9qvan", "-", ";"))
+
+
+def test_unknown_words_pass_by_the_normalizer(monkeypatch):
+    """The library's way for whole texts, of normalizer and pattern, is for words that only it can cut."""
+    fast, asked = pieces.WordIds(WORD, False), []
+    monkeypatch.setattr(fast, "whole", lambda some, f=fast.whole: asked.extend(some) or f(some))
+    some = ["Qvanzor, (qvanzor) \u00e9qvan-7.", "don't A.b \u65e5"]
+    assert fast.encode(some) == [np.array(tokenizer(WORD).encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in some]
+    assert sorted(asked) == ["don't", "\u65e5"]
+
+
+def test_word_ids_of_other_vocabularies(tmp_path):
+    """Words are cut only for a vocabulary that cuts them so; pre-tokens whose end the vocabulary lacks go to the library."""
+    config, some = json.loads(open(WORD, encoding="utf-8").read()), ["a ba. ab, b7", "ab\u00e9 b.a"]
+    config["added_tokens"] = []
+    cut_less = json.loads(json.dumps(config))
+    cut_less["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"
+    ends_less = json.loads(json.dumps(config))
+    ends_less["model"] |= {"vocab": {"a": 0, "a</w>": 1, "b": 2, ".</w>": 3, "7</w>": 4}, "merges": []}
+    for k, (other, cuts) in enumerate(((cut_less, False), (ends_less, True))):
+        path = str(tmp_path / f"{k}.json")
+        (tmp_path / f"{k}.json").write_text(json.dumps(other), encoding="utf-8")
+        fast = pieces.WordIds(path, False)
+        assert (fast.bare is not None) == cuts
+        assert fast.encode(some) == [np.array(Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in some]
